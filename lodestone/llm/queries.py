@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import langid, toxicity
+from . import langid, quality_gam, repetition, toxicity
+
+
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_gam.score_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repetition.rate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *repetition.COUNTS, *repetition.EXTRA, "base_failed", "kept")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +34,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_gam": op2_quality_gam,
+        "op4_quality_rules": op4_quality_rules,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
     }
