@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import langid, quality_gam, repetition, toxicity
+from . import decontam, langid, quality_gam, repetition, toxicity
 
 
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *repetition.COUNTS, *repetition.EXTRA, "base_failed", "kept")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontam.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.drop("text_hash")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
@@ -36,10 +42,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_gam": op2_quality_gam,
         "op4_quality_rules": op4_quality_rules,
+        "op5_decontamination": op5_decontamination,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
     }
 
 
+OP5_SQL = r"""
+WITH item AS (
+  SELECT DISTINCT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, list_slice(w, s + 1, s + least(len(w), 10)) AS g
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS s FROM item WHERE len(w) > 0)
+), doc AS (
+  SELECT DISTINCT doc_id, text, coalesce(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''), []) AS w
+  FROM documents
+), gram AS (
+  SELECT doc_id, text, n, s, list_slice(w, s + 1, s + n) AS g
+  FROM (SELECT doc_id, text, w, n, unnest(range(len(w) - n + 1)) AS s FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), occ AS (
+  SELECT DISTINCT doc_id, text, item_id, s, gram.n FROM gram JOIN win USING (n, g)
+), hit AS (
+  SELECT doc_id, text, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, text, unnest(range(s, s + n)) AS p FROM occ) GROUP BY ALL
+), ids AS (
+  SELECT doc_id, text, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, text, item_id::VARCHAR AS i FROM occ) GROUP BY ALL
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id, text) LEFT JOIN ids USING (doc_id, text)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": OP5_SQL}
