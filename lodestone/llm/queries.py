@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, langid, quality_gam, repetition, toxicity
+from . import decontam, langid, linededup, quality_gam, repetition, toxicity
 
 
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text_hash")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
@@ -43,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_gam": op2_quality_gam,
         "op4_quality_rules": op4_quality_rules,
         "op5_decontamination": op5_decontamination,
+        "op6_line_dedup": op6_line_dedup,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
     }
@@ -74,5 +81,31 @@ FROM doc LEFT JOIN hit USING (doc_id, text) LEFT JOIN ids USING (doc_id, text)
 """
 
 
+OP6_SQL = r"""
+WITH line AS (
+  SELECT doc_id, i - 1 AS no, l[i] AS line, list_filter(string_split_regex(l[i], '[ \x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))
+), sets AS (
+  SELECT doc_id, no, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) ELSE [array_to_string(w, ' ')] END)) AS s
+  FROM line WHERE len(w) > 0
+), cls AS (
+  SELECT s, min((doc_id, no)) AS f, row_number() OVER () AS c FROM sets GROUP BY s
+), tok AS (SELECT c, f, len(s) AS n, unnest(s) AS t FROM cls),
+pair AS (
+  SELECT b.c FROM tok a JOIN tok b ON a.t = b.t AND a.f < b.f
+  GROUP BY a.c, b.c, a.n, b.n HAVING 7 * count(*) >= 3 * (a.n + b.n)
+), gone AS (SELECT DISTINCT c FROM pair),
+bad AS (
+  SELECT doc_id, no FROM sets JOIN cls USING (s) LEFT JOIN gone USING (c) WHERE gone.c IS NOT NULL OR (doc_id, no) <> f
+), per AS (
+  SELECT line.doc_id, count(*) AS n_lines, count(bad.no) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY line.no) FILTER (WHERE bad.no IS NULL), '') AS kept
+  FROM line LEFT JOIN bad ON line.doc_id = bad.doc_id AND line.no = bad.no GROUP BY line.doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, md5(kept) AS text_md5
+FROM documents LEFT JOIN per USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL}
