@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, langid, linededup, quality_gam, repetition, toxicity
+from . import decontam, jaccard, langid, linededup, quality_gam, repetition, toxicity
 
 
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_decontamination": op5_decontamination,
         "op6_line_dedup": op6_line_dedup,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
     }
@@ -107,5 +113,24 @@ FROM documents LEFT JOIN per USING (doc_id)
 """
 
 
+OP7_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> ''), []) AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM doc
+), cls AS (SELECT s, min(doc_id) AS c FROM sets WHERE len(s) > 0 GROUP BY s),
+tok AS (SELECT c, len(s) AS n, unnest(s) AS t FROM cls),
+edge AS (
+  SELECT a.c AS x, b.c AS y FROM tok a JOIN tok b ON a.t = b.t AND a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(x, y) AS (
+  SELECT c, c FROM cls UNION SELECT r.x, e.y FROM reach r JOIN edge e ON r.y = e.x
+), comp AS (SELECT x AS c, min(y) AS k FROM reach GROUP BY x)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(k, doc_id) AS component_id
+FROM sets LEFT JOIN cls ON sets.s = cls.s LEFT JOIN comp USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_ngram_jaccard": OP7_SQL}
