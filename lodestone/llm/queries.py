@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, jaccard, langid, linededup, quality_gam, repetition, toxicity
+from . import chat, decontam, jaccard, langid, linededup, packing, quality_gam, repetition, toxicity
 
 
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repetition.rate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *repetition.COUNTS, *repetition.EXTRA, "base_failed", "kept")
@@ -38,6 +42,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
@@ -52,10 +60,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_gam": op2_quality_gam,
+        "op3_best_fit": op3_best_fit,
         "op4_quality_rules": op4_quality_rules,
         "op5_decontamination": op5_decontamination,
         "op6_line_dedup": op6_line_dedup,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op8_chat_formatting": op8_chat_formatting,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
     }
@@ -132,5 +142,21 @@ FROM sets LEFT JOIN cls ON sets.s = cls.s LEFT JOIN comp USING (c)
 """
 
 
+OP8_SQL = r"""
+WITH ask AS (SELECT *, conv_id || '-' || turn AS call_id FROM conversations WHERE role = 'user'),
+reply AS (SELECT *, conv_id || '-' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant')
+SELECT a.conv_id, a.turn, 0 AS place, a.role, 'call' AS kind, a.call_id, r.call_id IS NOT NULL AS linked, 0 AS level, true AS valid, '' AS problems,
+  '{"arguments":{"prompt":' || to_json(a.text)::VARCHAR || '},"id":' || to_json(a.call_id)::VARCHAR || ',"name":"respond","result":' || coalesce(to_json(r.text)::VARCHAR, 'null') || ',"role":"user"}' AS json
+FROM ask a LEFT JOIN reply r ON a.conv_id = r.conv_id AND a.call_id = r.call_id
+UNION ALL
+SELECT r.conv_id, r.turn, 0, r.role, 'result', r.call_id, a.call_id IS NOT NULL, NULL, NULL, NULL,
+  '{"content":' || to_json(r.text)::VARCHAR || ',"id":' || to_json(r.call_id)::VARCHAR || ',"role":"assistant"}'
+FROM reply r LEFT JOIN ask a ON a.conv_id = r.conv_id AND a.call_id = r.call_id
+UNION ALL
+SELECT conv_id, turn, 0, role, 'message', NULL, false, NULL, NULL, NULL, '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}'
+FROM conversations WHERE role NOT IN ('user', 'assistant')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_ngram_jaccard": OP7_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_chat_formatting": OP8_SQL}
