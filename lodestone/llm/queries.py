@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontam, jaccard, langid, linededup, packing, quality_gam, repetition, toxicity
+from . import chat, decontam, extract, jaccard, langid, linededup, packing, quality_gam, repetition, toxicity
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_quality_gam": op2_quality_gam,
         "op3_best_fit": op3_best_fit,
         "op4_quality_rules": op4_quality_rules,
