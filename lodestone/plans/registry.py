@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import dedup_queries, ingest_queries, metric_queries, snapshot_queries, text_queries, transform_queries, view_queries
+from .catalog import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+MODULES = [ingest_queries, snapshot_queries, dedup_queries, text_queries, transform_queries, view_queries, metric_queries]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
