@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bound, h60
+from ..functions.hashing import h60
 from ..session import settle
 
 NGRAM, NUM_HASH, BANDS, ROWS = 5, 128, 16, 8
@@ -25,11 +25,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
 
 
-def word_ngrams(text: Column, n: int = NGRAM) -> Column:
-    """Word n-grams, joined by a space; none for fewer than n words."""
-    none = F.array().cast("array<string>")
-    grams = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(none)
-    return bound(words(text), grams)
+def ngrams(w: Column, n: int = NGRAM) -> Column:
+    """n-grams of a column of words, joined by a space; none for fewer than
+    n words. The words are a column, so they are not computed for each."""
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -56,7 +55,8 @@ def signatures(records: DataFrame, text: str, num_hash: int = NUM_HASH, ngram: i
     """``records`` with ``sig_vector``. base: ``h60`` (portable), or ``xxh3``
     (the XXH3-64 of each n-gram of the NFKC-normalised text)."""
     if base == "h60":
-        hashed = records.withColumn("__base", F.transform(F.array_distinct(word_ngrams(F.col(text), ngram)), lambda g: h60(g)))
+        hashed = records.withColumn("__words", words(F.col(text)))
+        hashed = hashed.withColumn("__base", F.transform(F.array_distinct(ngrams(F.col("__words"), ngram)), lambda g: h60(g))).drop("__words")
 
         @F.pandas_udf("array<bigint>")
         def sign(b: pd.Series) -> pd.Series:

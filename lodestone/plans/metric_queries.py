@@ -122,7 +122,7 @@ def view_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.view_stats(c, ["prompts", "answers", "dropped"], {"answered_pct": ("answers", "prompts"), "dropped_pct": ("dropped", "dropped")})
 
 
-@query("segment_stats", "WITH s AS (SELECT l_orderkey AS uid, l_returnflag AS grp, floor(l_quantity)::BIGINT AS tokens, floor(l_quantity / 2)::BIGINT AS loss, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS k FROM lineitem) SELECT grp, count(DISTINCT uid) AS examples, count(*) AS segments, sum(tokens + CASE WHEN pos = 0 THEN k - 1 ELSE 0 END)::BIGINT AS tokens, sum(loss + CASE WHEN pos = 0 THEN k - 1 ELSE 0 END)::BIGINT AS loss_tokens, count(*) FILTER (WHERE k > 1) AS packed FROM s GROUP BY grp")
+@query("segment_stats", "WITH s AS (SELECT l_orderkey AS uid, l_returnflag AS grp, floor(l_quantity)::BIGINT AS tokens, floor(l_quantity / 2)::BIGINT AS loss, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, floor(l_quantity)) - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS k FROM lineitem) SELECT grp, count(DISTINCT uid) AS examples, count(*) AS segments, sum(tokens + CASE WHEN pos = 0 THEN k - 1 ELSE 0 END)::BIGINT AS tokens, sum(loss + CASE WHEN pos = 0 THEN k - 1 ELSE 0 END)::BIGINT AS loss_tokens, count(*) FILTER (WHERE k > 1) AS packed FROM s GROUP BY grp")
 def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = reader(spark, sf_dir)("lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("grp"), F.floor("l_quantity").alias("tokens"), F.floor(F.col("l_quantity") / 2).alias("loss"))
     e = li.groupBy(F.col("l_orderkey").alias("uid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "grp", "tokens", "loss"))), lambda s: F.struct(s["grp"].alias("grp"), s["tokens"].alias("tokens"), s["loss"].alias("loss"))).alias("segments"), F.sum("tokens").alias("t"), F.sum("loss").alias("l"))

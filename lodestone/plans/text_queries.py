@@ -17,7 +17,8 @@ def record_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("word_ngrams", r"SELECT doc_id, greatest(0, len(w) - 4)::INT AS n, CASE WHEN len(w) >= 5 THEN array_to_string(list_slice(w, 1, 5), ' ') END AS first FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents)")
 def word_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = reader(spark, sf_dir)("documents").select("doc_id", nd.word_ngrams(F.col("text")).alias("g"))
+    g = reader(spark, sf_dir)("documents").select("doc_id", nd.words(F.col("text")).alias("w"))
+    g = g.select("doc_id", nd.ngrams(F.col("w")).alias("g"))
     return g.select("doc_id", F.size("g").alias("n"), F.get("g", F.lit(0)).alias("first"))
 
 
