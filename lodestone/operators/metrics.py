@@ -167,7 +167,7 @@ def power_law(df: DataFrame, group: str, least: int = 20, ratio: float = 2.0, gr
         b = b.sort_values("tokens", kind="stable")
         t, y = b["tokens"].to_numpy(float), b["loss"].to_numpy(float)
         name = b[group].iloc[0]
-        none = pd.DataFrame({group: [], "l": [], "a": [], "alpha": [], "r2": [], "alpha_local": []})
+        none = pd.DataFrame({group: pd.Series([], dtype=object), **{c: pd.Series([], dtype=float) for c in ("l", "a", "alpha", "r2", "alpha_local")}})
         good = np.isfinite(t).all() and np.isfinite(y).all() and (t > 0).all() and (y > 0).all()
         if len(t) < least or not good or t.max() / t.min() < ratio:
             return none
