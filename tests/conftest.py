@@ -3,7 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]
+
+from helpers import SF, TABLES  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -23,10 +25,6 @@ def spark():
     return s
 
 
-SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
@@ -35,19 +33,3 @@ def duck():
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
-
-
-def same_rows(spark_df, duck_df) -> None:
-    """Equal columns and rows in any order, floats to six digits."""
-    a, b = (df[sorted(df.columns)].copy() for df in (spark_df, duck_df))
-    assert list(a.columns) == list(b.columns)
-
-    def plain(v):
-        if v is None or v != v:
-            return "NULL"
-        if hasattr(v, "tolist"):
-            v = v.tolist()
-        return str(round(v, 6)) if isinstance(v, float) else str(v)
-
-    rows = [sorted(tuple(plain(v) for v in r) for r in df.itertuples(index=False)) for df in (a, b)]
-    assert rows[0] == rows[1]

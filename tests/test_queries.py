@@ -1,7 +1,7 @@
 """Every registered query of the engine against its SQL, at the least size."""
 
 import pytest
-from conftest import SF, same_rows
+from helpers import SF, same_rows
 
 from lodestone.plans import registry
 
