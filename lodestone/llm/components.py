@@ -10,6 +10,12 @@ from ..session import settle
 MAX_ROUNDS = 60
 
 
+def _digest(e: DataFrame) -> tuple:
+    """Number of edges and 128 bits of a hash that ignores their order."""
+    h = [F.bit_xor(F.xxhash64("u", "v", F.lit(k))) for k in (1, 2)]
+    return tuple(e.agg(F.count("*"), *h).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id`` and ``component`` (its smallest id) of every id in ``edges``.
 
@@ -20,6 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = settle(e, "edges")
+    seen = _digest(e)
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -27,9 +34,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        changed = new.exceptAll(e).limit(1).count() or e.exceptAll(new).limit(1).count()
-        e = new
-        if not changed:
+        e, before, seen = new, seen, _digest(new)
+        if before == seen:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -5,10 +5,11 @@ with equal sets form a class, and only classes are joined. Two classes link
 when 100 * intersection >= 75 * union; what is wanted are the connected
 components, so a pair within a component that is known needs no answer.
 
-* Index lists: by the prefix filter two linked sets share a token among the
-  first n - ceil(0.75 n) + 1 of each, rarest first. A first pass in the order
-  of hashes finds the sets that share any and counts how often; a second one
-  orders these sets by rarity.
+* Index lists: by the prefix filter two linked sets share k tokens among the
+  first n - ceil(0.75 n) + k of each, in any one order of all tokens. A first
+  pass in the order of hashes, with k about n / 16, finds the sets that share
+  enough and counts how often tokens are shared; a second one with k = 1
+  orders the tokens of these sets by rarity.
 * Index-level skipping: a list is cut into blocks of nearby positions (and
   sizes); two blocks whose positions leave too few tokens, or whose sizes are
   too far apart, are skipped as a whole.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import discard, settle
 from . import arrowtext as at
 from .components import components
 from .native import small
@@ -43,7 +44,11 @@ from .native import small
 SHINGLE = 5
 FREQUENT = 50  # classes that share a token; from here on rarity counts
 FREQUENT_ROWS = 500_000  # bound for broadcasting the frequent tokens
+IDS = 1_000_000  # bound for broadcasting ids
+LATE_ROWS = 20_000  # bound for broadcasting sets' frequent tokens
 BLOCK = 512  # entries of a block of an index list
+SKETCH = 8  # words of 64 bits
+SKETCH_ROWS = 500_000  # bound for broadcasting sketches
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +85,20 @@ def _sums(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)
 
 
-def prefix_size(n):
-    return n - (3 * n + 3) // 4 + 1
+def spare(n):
+    """How many of n tokens a linked set may lack."""
+    return n - (3 * n + 3) // 4
+
+
+def extra(n):
+    """Tokens by which the first prefix is longer than it has to be. Two
+    linked sets then share as many, by the smaller count, in their prefixes."""
+    return np.maximum(1, spare(n) // 4)
 
 
 def sketches(documents: DataFrame, text: str, id_column: str) -> DataFrame:
-    """id, n, the set's 128-bit digest d1, d2, and its prefix by hash."""
+    """id, n, the set's 128-bit digest d1, d2, its prefix by hash, and how many
+    of that a linked set has at least."""
     rows = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
 
@@ -95,18 +108,29 @@ def sketches(documents: DataFrame, text: str, id_column: str) -> DataFrame:
                 value, off = shingles(part.column("text"))
                 n = np.diff(off)
                 owner, pos = at.run_index(n)
-                keep = pos < prefix_size(n)[owner]
-                cut = np.concatenate([[0], np.cumsum(np.where(n > 0, prefix_size(n), 0))])
+                first = np.minimum(n, spare(n) + extra(n))
+                need = extra((3 * n + 3) // 4)  # of the smallest set that can link
+                keep = pos < first[owner]
+                cut = np.concatenate([[0], np.cumsum(first)])
                 u = value.view(np.uint64)
                 d1, d2 = _sums(at.mix(u), off), _sums(at.mix(u ^ np.uint64(0xA5A5A5A55A5A5A5A)), off)
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(value[keep]))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int32)), pa.array(d1), pa.array(d2), lists], names=["id", "n", "d1", "d2", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int32)), pa.array(d1), pa.array(d2), pa.array(need.astype(np.int32)), lists], names=["id", "n", "d1", "d2", "need", "prefix"])
+
+    return rows.mapInArrow(run, f"id {kind}, n int, d1 bigint, d2 bigint, need int, prefix array<bigint>")
+
 
-    return rows.mapInArrow(run, f"id {kind}, n int, d1 bigint, d2 bigint, prefix array<bigint>")
+def parities(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, SKETCH) words of bits; each token's hash flips one bit. Two
+    sets differ in as many tokens at least as their sketches do in bits."""
+    docs, bits = len(offsets) - 1, 64 * SKETCH
+    owner = np.repeat(np.arange(docs), np.diff(offsets))
+    flips = np.bincount(owner * bits + (at.mix(value.view(np.uint64)) % np.uint64(bits)).astype(np.int64), minlength=docs * bits) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(docs, bits), axis=1)
 
 
 def whole_sets(documents: DataFrame, text: str, id_column: str) -> DataFrame:
-    """id and tokens, sorted by hash, of documents with words."""
+    """id, tokens sorted by hash, and sketch of documents with words."""
     rows = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
 
@@ -114,9 +138,10 @@ def whole_sets(documents: DataFrame, text: str, id_column: str) -> DataFrame:
         for batch in batches:
             for part in at.chunks(batch, "text"):
                 value, off = shingles(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(value))], names=["id", "tokens"])
+                sketch = pa.array([r.tobytes() for r in parities(value, off)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(value)), sketch], names=["id", "tokens", "sketch"])
 
-    return rows.mapInArrow(run, f"id {kind}, tokens array<bigint>").where(F.size("tokens") > 0)
+    return rows.mapInArrow(run, f"id {kind}, tokens array<bigint>, sketch binary").where(F.size("tokens") > 0)
 
 
 def by_rarity(sets: DataFrame, counts: DataFrame) -> DataFrame:
@@ -124,7 +149,8 @@ def by_rarity(sets: DataFrame, counts: DataFrame) -> DataFrame:
     classes count as equally rare and stay in the order of their hashes."""
     frequent = small(settle(counts.where(F.col("n_classes") >= FREQUENT).distinct(), "frequent"), FREQUENT_ROWS)
     found = sets.select("id", F.explode("tokens").alias("token")).join(frequent, "token").distinct()
-    found = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n_classes", "token"))).alias("late"))
+    found = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n_classes", "token"))).alias("late"))
+    found = small(settle(found, "late"), LATE_ROWS)
     out = sets.join(found, "id", "left").withColumn("late", F.transform("late", lambda x: x["token"]))
     kept = F.array_except("tokens", "late")
     moved = F.concat(kept, F.filter("late", lambda t: F.array_contains("tokens", t)))
@@ -142,13 +168,15 @@ def linked(both: Column, n1: Column, n2: Column) -> Column:
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """x, y, both, nx, ny: the exact overlap of each pair of sets."""
-    a = sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx"))
-    b = sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty"))
-    joined = pairs.select("x", "y").join(a, "x").join(b, "y")
+    pairs = settle(pairs.select("x", "y"), "pairs")
+    some = lambda c: sets.join(small(pairs.select(F.col(c).alias("id")).distinct(), IDS), "id", "left_semi")
+    a = some("x").select(F.col("id").alias("x"), F.col("tokens").alias("tx"))
+    b = some("y").select(F.col("id").alias("y"), F.col("tokens").alias("ty"))
+    joined = pairs.join(a, "x").join(b, "y")
     return joined.select("x", "y", F.size(F.array_intersect("tx", "ty")).alias("both"), F.size("tx").alias("nx"), F.size("ty").alias("ny"))
 
 
-def block_pairs(n: np.ndarray, p: np.ndarray, group: np.ndarray, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def block_pairs(n: np.ndarray, p: np.ndarray, group: np.ndarray, block: int = BLOCK, bits: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one list that pass the filters, of different groups.
 
     Entries come sorted by position. A block knows the range of its sizes
@@ -173,15 +201,19 @@ def block_pairs(n: np.ndarray, p: np.ndarray, group: np.ndarray, block: int = BL
             if a == b:
                 ok &= np.arange(len(n1))[:, None] < np.arange(n2.shape[1])[None, :]
             x, y = np.nonzero(ok)
+            x, y = x + i, y + j
+            if bits is not None and len(x):
+                near = 7 * np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y]
+                x, y = x[near], y[near]
             if len(x):
-                yield x + i, y + j
+                yield x, y
 
 
 def across(lists: DataFrame) -> DataFrame:
     """x, y: pairs of a list that pass the filters and lie in different
-    components. ``lists``: token, id, n, pos, component."""
+    components. ``lists``: token, id, n, pos, component, sketch."""
     kind = dict(lists.dtypes)["id"]
-    dealt = lists.select("token", "id", "n", "pos", F.xxhash64("component").alias("component")).repartition("token").sortWithinPartitions("token", "pos", "n", "id")
+    dealt = lists.select("token", "id", "n", "pos", F.xxhash64("component").alias("component"), "sketch").repartition("token").sortWithinPartitions("token", "pos", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -189,11 +221,13 @@ def across(lists: DataFrame) -> DataFrame:
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             token, ids = t["token"].to_numpy(), t["id"].combine_chunks()
             n, p, g = (t[c].to_numpy().astype(np.int64) for c in ("n", "pos", "component"))
+            raw = b"".join(t["sketch"].to_pylist())
+            bits = np.frombuffer(raw, dtype=np.uint64).reshape(len(n), SKETCH)
             cut = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             many = np.diff(cut) > 1
             xs, ys, size = [], [], 0
             for a, b in zip(cut[:-1][many], cut[1:][many]):
-                for x, y in block_pairs(n[a:b], p[a:b], g[a:b]):
+                for x, y in block_pairs(n[a:b], p[a:b], g[a:b], BLOCK, bits[a:b]):
                     xs.append(x + a)
                     ys.append(y + a)
                     size += len(x)
@@ -243,16 +277,21 @@ def derived(pairs: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """id, n_shingles, component_id: a row for each row of ``documents``."""
-    rows = settle(sketches(documents, text, id_column), "sketches")
+    sketched = settle(sketches(documents, text, id_column), "sketches")
+    rows = settle(sketched.drop("prefix", "need"), "digests")
     some = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = settle(some.groupBy("d1", "d2", "n").agg(F.min("id").alias("first")), "classes")
-    firsts = some.join(classes, ["d1", "d2", "n"]).where("id = first").dropDuplicates(["id", "d1", "d2", "n"])
-    shared = firsts.select("id", F.explode("prefix").alias("token"))
+    firsts = sketched.where((F.col("n") > 0) & F.col("id").isNotNull()).join(classes, ["d1", "d2", "n"]).where("id = first").dropDuplicates(["id", "d1", "d2", "n"])
+    shared = firsts.select("id", "need", F.explode("prefix").alias("token"))
     shared = shared.withColumn("n_classes", F.count("*").over(Window.partitionBy("token"))).where("n_classes > 1")
     shared = settle(shared, "shared")
-    wanted = shared.select("id").distinct()
-    docs = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").distinct()
-    sets = settle(by_rarity(whole_sets(docs, "text", "id"), shared.select("token", "n_classes")), "sets")
+    discard(sketched)
+    wanted = settle(shared.groupBy("id").agg(F.count("*").alias("k"), F.min("need").alias("need")).where("k >= need").select("id"), "wanted")
+    docs = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(small(wanted, IDS), "id", "left_semi").distinct()
+    hashed = settle(whole_sets(docs, "text", "id"), "sets")
+    sets = settle(by_rarity(hashed, shared.select("token", "n_classes")), "sets")
+    discard(hashed)
+    discard(shared)
     n = F.size("tokens")
     size = n - F.floor((3 * n + 3) / 4).cast("int") + 1
     postings = sets.select("id", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), size)).alias("pos", "token"))
@@ -272,7 +311,12 @@ def near_duplicates(documents: DataFrame, text: str = "text", id_column: str = "
     # Pairs of different components; those within one are answered already.
     marked = lists.select("token", "id", "n", "pos").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = marked.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
-    open_pairs = settle(across(marked.join(mixed, "token", "left_semi")), "across")
+    # Ids that rows share have several sketches; those pairs are not judged
+    # by one, so all of them take part.
+    sketch = sets.select("id", F.size("tokens").alias("n"), "sketch")
+    marked = marked.join(mixed, "token", "left_semi").join(small(sketch, SKETCH_ROWS), ["id", "n"])
+    open_pairs = settle(across(marked), "across")
+    discard(lists)
     # One row for each id: where rows share an id, no bound holds for both,
     # so these are their own leaders.
     leads = known.select(F.col("x").alias("id"), F.col("y").alias("leader"), F.col("nx").alias("n"), (F.col("nx") - F.col("both")).alias("off"), (F.col("ny") - F.col("both")).alias("lack"))
