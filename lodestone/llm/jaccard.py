@@ -307,7 +307,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", id_column: str = "
     best = met.groupBy("x").agg(F.max(F.struct("times", "y")).alias("b")).select("x", F.col("b.y").alias("y"))
     known = settle(overlaps(best, sets), "leaders")
     edges = known.where(linked(F.col("both"), F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    first = components(edges)
+    first = settle(components(edges), "first")
     # Pairs of different components; those within one are answered already.
     marked = lists.select("token", "id", "n", "pos").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = marked.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
@@ -325,7 +325,14 @@ def near_duplicates(documents: DataFrame, text: str = "text", id_column: str = "
     good = leads.join(single, F.col("id") == F.col("one"), "left_semi").join(single, F.col("leader") == F.col("one"), "left_semi")
     own = per_id.join(good, "id", "left_anti").select("id", F.col("id").alias("leader"), F.col("size").alias("n"), F.lit(0).alias("off"), F.lit(0).alias("lack"))
     more = derived(open_pairs, good.unionByName(own), sets)
-    found = components(edges.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    # One link between two components is enough: contract them to nodes.
+    name = lambda k: first.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
+    more = more.join(name("x"), "x", "left").join(name("y"), "y", "left")
+    more = more.select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b")).where("a <> b").distinct()
+    merged = components(settle(more, "links")).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    within = first.join(merged, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    alone = merged.join(first.select("component").distinct(), "component", "left_anti")
+    found = settle(within.unionByName(alone.select(F.col("component").alias("id"), F.col("top").alias("component"))), "components")
     named = classes.join(found, F.col("first") == F.col("id"), "left").select("d1", "d2", "n", F.coalesce("component", "first").alias("component_id"))
     empty = (F.col("n") == 0) | F.col("id").isNull()
     out = rows.where(~empty).select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"]).select("id", "n", "component_id")
