@@ -5,13 +5,15 @@ one shingle). Lines with the same token set form a class; the classes are
 joined:
 
 * prefix filter: in any one order of all tokens, two sets with Jaccard 0.75
-  or more share one of the first n - ceil(0.75 n) + 1 tokens of either. With
-  tokens ordered by hash this finds the classes that share a token at all,
-  and counts how many classes share it;
+  or more share k of the first n - ceil(0.75 n) + k tokens of either. With
+  tokens ordered by hash, and k about n / 16, this finds the classes that
+  share enough, and counts how many classes share a token;
 * among these, tokens are ordered by rarity: those of few classes first, and
-  the prefix filter is applied again in this order;
+  the prefix filter is applied again in this order with k = 1;
 * length filter: 3 * larger <= 4 * smaller;
 * positional filter: the tokens from the shared one on must suffice;
+* bitmap filter: the sets differ in no more tokens than they may, by sketches
+  of 128 bits;
 * the survivors' Jaccard is computed from the whole sets.
 
 A line is removed if an earlier line, in the order of (id, text hash, line
@@ -30,39 +32,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
-from .native import join_on, pieces, small
+from ..functions.hashing import bound
+from ..session import discard, settle
+from .native import differing, join_on, parity, pieces, small
 
 SHINGLE = 5
 FREQUENT = 50  # classes that share a token; from here on rarity counts
 FREQUENT_ROWS = 500_000  # bound for broadcasting the frequent tokens
+KEY_ROWS = 1_000_000  # bound for broadcasting keys of classes
+LATE_ROWS = 20_000  # bound for broadcasting sets' frequent tokens
 
 _SPACE = r" \x09-\x0D"
 LINE = ["doc_id", "text_hash", "line_no"]
 
 
 def _shingles(line: Column) -> Column:
-    """Hashes of the distinct shingles, sorted; the hash is 64 bits."""
-    words = pieces(line, _SPACE)
-    n = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(SHINGLE))))
-    some = F.when(n >= SHINGLE, many).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
-    return F.array_sort(F.array_distinct(some))
+    """Hashes of the distinct shingles, sorted; a hash has 64 bits, and is
+    made of the hashes of the words."""
 
+    def some(h: Column) -> Column:
+        n = F.size(h)
+        many = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))
+        return F.when(n >= SHINGLE, many).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-def _lines(documents: DataFrame, text: str, id_column: str) -> DataFrame:
-    doc = documents.where(F.col(text).isNotNull()).select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    return F.sort_array(F.array_distinct(bound(F.transform(pieces(line, _SPACE), lambda w: F.xxhash64(w)), some)))
+
+
+def _lines(documents: DataFrame, text: str, id_column: str, only: str | None = None) -> DataFrame:
+    """Lines with their tokens; ``only`` names a column of line numbers to
+    leave out all others."""
+    more = [F.col(only).alias("__only")] if only else []
+    doc = documents.where(F.col(text).isNotNull()).select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), *more, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    if only:
+        doc = doc.where(F.array_contains("__only", F.col("line_no")))
     return doc.select(*LINE, _shingles(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def _prefix_size(n: Column) -> Column:
-    return n - F.ceil(n * 3 / 4).cast("int") + 1
+def _spare(n: Column) -> Column:
+    """How many of n tokens a similar set may lack."""
+    return n - F.ceil(n * 3 / 4).cast("int")
+
 
+def _extra(n: Column) -> Column:
+    """Tokens by which the first prefix is longer than it has to be."""
+    return F.greatest(F.lit(1), F.floor(_spare(n) / 4).cast("int"))
 
-def _fits(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
-    """Length and positional filters; positions count from 0."""
+
+def _fits(a: str, b: str) -> Column:
+    """Length, positional and bitmap filters of two entries with n, pos, s1
+    and s2; positions count from 0."""
+    (n1, p1, a1, a2), (n2, p2, b1, b2) = ([F.col(f"{x}{c}") for c in ("n", "pos", "s1", "s2")] for x in (a, b))
     rest = F.least(n1 - p1, n2 - p2)
-    return (3 * F.greatest(n1, n2) <= 4 * F.least(n1, n2)) & (7 * rest >= 3 * (n1 + n2))
+    return (3 * F.greatest(n1, n2) <= 4 * F.least(n1, n2)) & (7 * rest >= 3 * (n1 + n2)) & (7 * differing(a1, a2, b1, b2) <= n1 + n2)
 
 
 def _ordered(whole: DataFrame, counts: DataFrame) -> DataFrame:
@@ -73,50 +94,61 @@ def _ordered(whole: DataFrame, counts: DataFrame) -> DataFrame:
     """
     frequent = small(settle(counts.where(F.col("n_classes") >= FREQUENT).distinct(), "frequent"), FREQUENT_ROWS)
     found = whole.select("key", F.explode("tokens").alias("token")).join(frequent, "token")
-    found = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n_classes", "token"))).alias("late"))
+    found = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n_classes", "token"))).alias("late"))
+    found = small(settle(found, "late"), LATE_ROWS)
     out = whole.join(found, "key", "left").withColumn("late", F.transform("late", lambda x: x["token"]))
     moved = F.concat(F.array_except("tokens", "late"), F.col("late"))
     return out.withColumn("tokens", F.when(F.col("late").isNull(), F.col("tokens")).otherwise(moved)).drop("late")
 
 
-def _prefix() -> Column:
+def _prefix(extra: bool = False) -> Column:
     n = F.size("tokens")
-    return F.slice("tokens", F.lit(1), _prefix_size(n))
+    return F.slice("tokens", F.lit(1), _spare(n) + (_extra(n) if extra else 1))
 
 
 def similar_lines(documents: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The lines to remove: doc_id, text_hash, line_no."""
     sets = _lines(documents, text, id_column)
-    lines = settle(sets.select(*LINE, F.xxhash64("tokens").alias("key"), _prefix().alias("prefix")), "lines")
+    sketched = settle(sets.select(*LINE, F.xxhash64("tokens").alias("key"), F.size("tokens").alias("n"), _prefix(True).alias("prefix")), "sketches")
+    lines = settle(sketched.drop("prefix", "n"), "lines")
     classes = settle(lines.groupBy("key").agg(F.min(F.struct(*LINE)).alias("first")), "classes")
     own = F.struct(*[F.col(c) for c in LINE])
-    firsts = lines.join(classes, "key").where(own.eqNullSafe(F.col("first")))
-    shared = firsts.select("key", F.explode("prefix").alias("token"))
+    firsts = sketched.join(classes, "key").where(own.eqNullSafe(F.col("first")))
+    # What the smallest similar set shares at least.
+    need = _extra(F.ceil(F.col("n") * 3 / 4).cast("int"))
+    shared = firsts.select("key", need.alias("need"), F.explode("prefix").alias("token"))
     shared = shared.withColumn("n_classes", F.count("*").over(Window.partitionBy("token"))).where("n_classes > 1")
     shared = settle(shared, "shared")
-    whole = settle(_whole_sets(documents, classes.join(shared.select("key"), "key", "left_semi"), text, id_column), "sets")
+    discard(sketched)
+    wanted = shared.groupBy("key").agg(F.count("*").alias("k"), F.min("need").alias("need")).where("k >= need")
+    wanted = settle(classes.join(wanted, "key", "left_semi"), "wanted")
+    whole = settle(_whole_sets(documents, wanted, text, id_column), "sets")
     ordered = _ordered(whole, shared.select("token", "n_classes"))
-    postings = ordered.select("key", "first", F.size("tokens").alias("n"), F.posexplode(_prefix()).alias("pos", "token"))
+    s1, s2 = parity(F.col("tokens"))
+    postings = ordered.select("key", "first", F.size("tokens").alias("n"), s1.alias("s1"), s2.alias("s2"), F.posexplode(_prefix()).alias("pos", "token"))
     # Lists of two classes or more; each entry with the list's first entry
     # and the one before it.
-    entry = F.struct("first", "key", "n", "pos")
+    mine = ["key", "first", "n", "pos", "s1", "s2"]
+    entry = F.struct("first", *[c for c in mine if c != "first"])
     w = Window.partitionBy("token").orderBy("first", "key")
     head = F.first(entry).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    lists = postings.select("token", "key", "n", "pos", "first", head.alias("head"), F.lag(entry).over(w).alias("last"), F.lead("key").over(w).alias("next"))
-    lists = settle(lists.where(F.col("last").isNotNull() | F.col("next").isNotNull()), "lists")
-    met = lists.where(F.col("last").isNotNull()).select("key", "n", "pos", F.explode(F.array("head", "last")).alias("e"))
-    met = met.where((F.col("e.key") != F.col("key")) & _fits(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos")))
+    lists = postings.select("token", *mine, head.alias("head"), F.lag(entry).over(w).alias("last"), F.lead("key").over(w).alias("next"))
+    lists = settle(lists.where(F.col("last").isNotNull() | F.col("next").isNotNull()).drop("next"), "lists")
+    discard(shared)
+    met = lists.where(F.col("last").isNotNull()).select(*mine, F.explode(F.array("head", "last")).alias("e"))
+    met = met.where((F.col("e.key") != F.col("key")) & _fits("", "e."))
     met = settle(met.select(F.col("key").alias("late"), F.col("e.key").alias("early")).distinct(), "met")
     matched = settle(_verified(met, whole).select(F.col("late").alias("key")).distinct(), "matched")
     # Lines that no such neighbour matched, against all earlier ones.
-    probes = lists.where(F.col("last").isNotNull()).join(matched, "key", "left_anti")
-    a = probes.select("token", F.col("key").alias("late"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("first").alias("f1")).alias("a")
-    b = lists.select("token", F.col("key").alias("early"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("first").alias("f2")).alias("b")
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("f2") < F.col("f1")) & _fits(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"))
-    rest = a.join(b, on).select("late", "early").distinct().join(met, ["late", "early"], "left_anti")
-    more = _verified(rest, whole).select(F.col("late").alias("key"))
+    a = lists.where(F.col("last").isNotNull()).join(small(matched, KEY_ROWS), "key", "left_anti").select("token", *mine).alias("a")
+    b = lists.select("token", *mine).alias("b")
+    rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.first") < F.col("a.first")) & _fits("a.", "b."))
+    rest = rest.select(F.col("a.key").alias("late"), F.col("b.key").alias("early")).distinct().join(met, ["late", "early"], "left_anti")
+    more = _verified(settle(rest, "rest"), whole).select(F.col("late").alias("key"))
     gone = settle(matched.unionByName(more).distinct(), "gone")
-    verdict = classes.join(gone.withColumn("gone", F.lit(True)), "key", "left")
+    for done in (whole, lists, met, wanted):
+        discard(done)
+    verdict = classes.join(small(gone, KEY_ROWS).withColumn("gone", F.lit(True)), "key", "left")
     out = lines.select(*LINE, "key").join(verdict, "key")
     return out.where(F.col("gone").isNotNull() | ~own.eqNullSafe(F.col("first"))).select(*LINE)
 
@@ -124,17 +156,17 @@ def similar_lines(documents: DataFrame, text: str = "text", id_column: str = "do
 def _whole_sets(documents: DataFrame, classes: DataFrame, text: str, id_column: str) -> DataFrame:
     """The classes with their whole token sets, from their first lines."""
     docs = documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    there = classes.select("first.doc_id", "first.text_hash").distinct()
-    docs = join_on(docs, there, ["doc_id", "text_hash"], "left_semi").distinct()
-    sets = _lines(docs, "text", "doc_id")
-    own = F.struct(*[F.col(c) for c in LINE])
-    return sets.withColumn("key", F.xxhash64("tokens")).join(classes, "key").where(own.eqNullSafe(F.col("first"))).select("key", "first", "tokens")
+    lines = classes.select("first.*").groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("wanted"))
+    docs = join_on(docs, lines, ["doc_id", "text_hash"])
+    sets = _lines(docs, "text", "doc_id", "wanted")
+    return sets.select(F.xxhash64("tokens").alias("key"), F.struct(*LINE).alias("first"), "tokens").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose Jaccard is 0.75 or more."""
-    a = sets.select(F.col("key").alias("late"), F.col("tokens").alias("t1"))
-    b = sets.select(F.col("key").alias("early"), F.col("tokens").alias("t2"))
+    some = lambda c: sets.join(small(pairs.select(F.col(c).alias("key")).distinct(), KEY_ROWS), "key", "left_semi")
+    a = some("late").select(F.col("key").alias("late"), F.col("tokens").alias("t1"))
+    b = some("early").select(F.col("key").alias("early"), F.col("tokens").alias("t2"))
     both = F.size(F.array_intersect("t1", "t2"))
     return pairs.join(a, "late").join(b, "early").where(7 * both >= 3 * (F.size("t1") + F.size("t2"))).select("late", "early")
 
