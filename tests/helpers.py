@@ -10,10 +10,10 @@ def same_rows(spark_df, duck_df) -> None:
     assert list(a.columns) == list(b.columns)
 
     def plain(v):
-        if v is None or v != v:
-            return "NULL"
         if hasattr(v, "tolist"):
             v = v.tolist()
+        if v is None or isinstance(v, float) and v != v or str(v) in ("NaT", "<NA>"):
+            return "NULL"
         return str(round(v, 6)) if isinstance(v, float) else str(v)
 
     rows = [sorted(tuple(plain(v) for v in r) for r in df.itertuples(index=False)) for df in (a, b)]
