@@ -30,8 +30,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that an earlier line has; texts left without a word go."""
-    out = linededup.dedup_lines(docs)
+    """Removes lines that an earlier line has, or one with nearly the same
+    words; texts left without a word go."""
+    out = linededup.dedup_lines(docs, shingle=1)
     out = out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 

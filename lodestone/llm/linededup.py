@@ -1,8 +1,9 @@
 """Line dedup: an exact set-similarity self-join of all lines.
 
-A line's tokens are its distinct shingles of five words (a shorter line is
-one shingle). Lines with the same token set form a class; the classes are
-joined:
+A line's tokens are its distinct words (``shingle=1``), or its distinct
+shingles of five words (a shorter line is one shingle), which miss lines with
+a changed word. Lines with the same token set form a class; the classes are
+joined (the first filter is for shingles only; few lines share no word):
 
 * prefix filter: in any one order of all tokens, two sets with Jaccard 0.75
   or more share k of the first n - ceil(0.75 n) + k tokens of either. With
@@ -46,26 +47,28 @@ _SPACE = r" \x09-\x0D"
 LINE = ["doc_id", "text_hash", "line_no"]
 
 
-def _shingles(line: Column) -> Column:
+def _shingles(line: Column, size: int = SHINGLE) -> Column:
     """Hashes of the distinct shingles, sorted; a hash has 64 bits, and is
     made of the hashes of the words."""
+    if size == 1:
+        return F.sort_array(F.array_distinct(F.transform(pieces(line, _SPACE), lambda w: F.xxhash64(w))))
 
     def some(h: Column) -> Column:
         n = F.size(h)
-        many = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))
-        return F.when(n >= SHINGLE, many).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        many = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
+        return F.when(n >= size, many).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
     return F.sort_array(F.array_distinct(bound(F.transform(pieces(line, _SPACE), lambda w: F.xxhash64(w)), some)))
 
 
-def _lines(documents: DataFrame, text: str, id_column: str, only: str | None = None) -> DataFrame:
+def _lines(documents: DataFrame, text: str, id_column: str, only: str | None = None, shingle: int = SHINGLE) -> DataFrame:
     """Lines with their tokens; ``only`` names a column of line numbers to
     leave out all others."""
     more = [F.col(only).alias("__only")] if only else []
     doc = documents.where(F.col(text).isNotNull()).select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), *more, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     if only:
         doc = doc.where(F.array_contains("__only", F.col("line_no")))
-    return doc.select(*LINE, _shingles(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    return doc.select(*LINE, _shingles(F.col("line"), shingle).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def _spare(n: Column) -> Column:
@@ -106,8 +109,28 @@ def _prefix(extra: bool = False) -> Column:
     return F.slice("tokens", F.lit(1), _spare(n) + (_extra(n) if extra else 1))
 
 
-def similar_lines(documents: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The lines to remove: doc_id, text_hash, line_no."""
+def _all_sets(documents: DataFrame, text: str, id_column: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Lines, classes, and the classes' words by hash and by rarity. No class
+    is left out: nearly all lines share words, so a first prefix would drop none. How many
+    classes hold a word is counted over whole sets."""
+    sets = settle(_lines(documents, text, id_column, shingle=1).withColumn("key", F.xxhash64("tokens")), "words")
+    lines = settle(sets.select(*LINE, "key"), "lines")
+    # Sets of one class are equal, so any of them is taken.
+    whole = settle(sets.groupBy("key").agg(F.min(F.struct(*LINE)).alias("first"), F.first("tokens").alias("tokens")), "sets")
+    discard(sets)
+    counts = whole.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n_classes"))
+    frequent = small(settle(counts.where(F.col("n_classes") >= FREQUENT), "frequent"), FREQUENT_ROWS)
+    flat = whole.select("key", "first", F.explode("tokens").alias("token")).join(frequent, "token", "left")
+    ranked = F.sort_array(F.collect_list(F.struct(F.coalesce("n_classes", F.lit(0)).alias("n_classes"), "token")))
+    ordered = flat.groupBy("key").agg(F.min("first").alias("first"), F.transform(ranked, lambda x: x["token"]).alias("tokens"))
+    ordered = settle(ordered, "ordered")
+    discard(whole)
+    return lines, settle(ordered.select("key", "first"), "classes"), ordered, ordered
+
+
+def _shared_sets(documents: DataFrame, text: str, id_column: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Lines, classes, and of those that share enough of a first prefix the
+    shingles by hash and by rarity."""
     sets = _lines(documents, text, id_column)
     sketched = settle(sets.select(*LINE, F.xxhash64("tokens").alias("key"), F.size("tokens").alias("n"), _prefix(True).alias("prefix")), "sketches")
     lines = settle(sketched.drop("prefix", "n"), "lines")
@@ -124,6 +147,17 @@ def similar_lines(documents: DataFrame, text: str = "text", id_column: str = "do
     wanted = settle(classes.join(wanted, "key", "left_semi"), "wanted")
     whole = settle(_whole_sets(documents, wanted, text, id_column), "sets")
     ordered = _ordered(whole, shared.select("token", "n_classes"))
+    for done in (shared, wanted):
+        discard(done)
+    return lines, classes, whole, ordered
+
+
+def similar_lines(documents: DataFrame, text: str = "text", id_column: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """The lines to remove: doc_id, text_hash, line_no."""
+    if shingle not in (1, SHINGLE):
+        raise ValueError(f"tokens are words or shingles of {SHINGLE}")
+    lines, classes, whole, ordered = (_all_sets if shingle == 1 else _shared_sets)(documents, text, id_column)
+    own = F.struct(*[F.col(c) for c in LINE])
     s1, s2 = parity(F.col("tokens"))
     postings = ordered.select("key", "first", F.size("tokens").alias("n"), s1.alias("s1"), s2.alias("s2"), F.posexplode(_prefix()).alias("pos", "token"))
     # Lists of two classes or more; each entry with the list's first entry
@@ -134,7 +168,6 @@ def similar_lines(documents: DataFrame, text: str = "text", id_column: str = "do
     head = F.first(entry).over(w.rowsBetween(Window.unboundedPreceding, 0))
     lists = postings.select("token", *mine, head.alias("head"), F.lag(entry).over(w).alias("last"), F.lead("key").over(w).alias("next"))
     lists = settle(lists.where(F.col("last").isNotNull() | F.col("next").isNotNull()).drop("next"), "lists")
-    discard(shared)
     met = lists.where(F.col("last").isNotNull()).select(*mine, F.explode(F.array("head", "last")).alias("e"))
     met = met.where((F.col("e.key") != F.col("key")) & _fits("", "e."))
     met = settle(met.select(F.col("key").alias("late"), F.col("e.key").alias("early")).distinct(), "met")
@@ -146,7 +179,7 @@ def similar_lines(documents: DataFrame, text: str = "text", id_column: str = "do
     rest = rest.select(F.col("a.key").alias("late"), F.col("b.key").alias("early")).distinct().join(met, ["late", "early"], "left_anti")
     more = _verified(settle(rest, "rest"), whole).select(F.col("late").alias("key"))
     gone = settle(matched.unionByName(more).distinct(), "gone")
-    for done in (whole, lists, met, wanted):
+    for done in (whole, lists, met):
         discard(done)
     verdict = classes.join(small(gone, KEY_ROWS).withColumn("gone", F.lit(True)), "key", "left")
     out = lines.select(*LINE, "key").join(verdict, "key")
@@ -171,10 +204,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "late").join(b, "early").where(7 * both >= 3 * (F.size("t1") + F.size("t2"))).select("late", "early")
 
 
-def dedup_lines(documents: DataFrame, text: str = "text", id_column: str = "doc_id", counts: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, text: str = "text", id_column: str = "doc_id", counts: bool = False, shingle: int = SHINGLE) -> DataFrame:
     """``documents`` with the text less its removed lines; with ``counts``
     also n_lines and n_removed."""
-    gone = settle(similar_lines(documents, text, id_column), "removed").distinct()
+    gone = settle(similar_lines(documents, text, id_column, shingle), "removed").distinct()
     gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     a, b = documents.alias("a"), gone.alias("b")
     on = F.col(f"a.`{id_column}`").eqNullSafe(F.col("b.__id")) & (F.xxhash64(F.col(f"a.`{text}`")) == F.col("b.__hash"))

@@ -41,6 +41,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
+def op6_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op6_line_dedup``, with a line's words as its tokens."""
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, shingle=1)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumnRenamed("id", "doc_id")
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_decontamination": op5_decontamination,
         "op6_line_dedup": op6_line_dedup,
+        "op6_line_dedup_words": op6_line_dedup_words,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_language_id": op9_language_id,
@@ -128,6 +135,10 @@ FROM documents LEFT JOIN per USING (doc_id)
 """
 
 
+_SHINGLES_SQL = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) ELSE [array_to_string(w, ' ')] END"
+OP6_WORDS_SQL = OP6_SQL.replace(_SHINGLES_SQL, "w")
+
+
 OP7_SQL = r"""
 WITH RECURSIVE doc AS (
   SELECT doc_id, coalesce(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> ''), []) AS w FROM documents
@@ -164,4 +175,4 @@ FROM conversations WHERE role NOT IN ('user', 'assistant')
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op6_line_dedup_words": OP6_WORDS_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_chat_formatting": OP8_SQL}

@@ -109,6 +109,38 @@ def test_lines_frequent_tokens(spark, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(d).collect()} == brute_lines(docs)
 
 
+def brute_word_lines(docs):
+    sets, gone = [], set()
+    for i, t in sorted(docs):
+        for no, line in enumerate(t.split("\n")):
+            s = frozenset(re.findall(r"[^\x20\x09-\x0D]+", line))
+            if s and any(o and 7 * len(s & o) >= 3 * (len(s) + len(o)) for o in sets):
+                gone.add((i, no))
+            sets.append(s)
+    return {i: "\n".join(x for no, x in enumerate(t.split("\n")) if (i, no) not in gone) for i, t in docs}
+
+
+@pytest.mark.parametrize("frequent", [50, 3])
+def test_lines_by_words_equal_brute_force(spark, monkeypatch, frequent):
+    """One changed word in a short line, which no shingle survives."""
+    monkeypatch.setattr(linededup, "FREQUENT", frequent)
+    rng = random.Random(4)
+    base = [[f"v{rng.randrange(200)}" for _ in range(rng.randrange(1, 25))] for _ in range(30)]
+
+    def line():
+        w = list(rng.choice(base))
+        if rng.random() < 0.7:
+            w[rng.randrange(len(w))] = f"n{rng.randrange(1000)}"
+        return " ".join(w)
+
+    docs = [(i, "\n".join(line() for _ in range(rng.randrange(0, 6)))) for i in range(60)]
+    docs += [(70, "Tolyoued with by of nteres atre are."), (71, "Anat with by of nteres atre are."), (72, "\n \n")]
+    d = spark.createDataFrame([(i, t, "", "") for i, t in docs], DOC)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(d, shingle=1).collect()}
+    assert got == brute_word_lines(docs) and got[71] == ""
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(d).collect()}[71] != ""
+
+
 def test_lines_repeated_rows_and_empty_table(spark):
     d = spark.createDataFrame([(1, "x y z\nx y z", "", ""), (1, "x y z\nx y z", "", "")], DOC)
     assert [r["text"] for r in linededup.dedup_lines(d).collect()] == ["x y z", "x y z"]
