@@ -40,14 +40,15 @@ RAREST, MORE_FREQUENT, FREE = 3, 50, 1000
 _SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _END = " "  # cannot be a word; its position is the number of words
 DOC = ["doc_id", "text_hash"]
+ITEM_WINDOW = ["item_id", "item_hash", "w_start"]  # an item_id may have several texts
 
 
 @dataclass
 class PositionalIndex:
     postings: DataFrame  # term_id, doc_id, text_hash, pos; without the ends
     documents: DataFrame  # doc_id, text_hash, n_words
-    windows: DataFrame  # item_id, w_start, w_len, terms: array<term_id>
-    anchors: DataFrame  # term_id, item_id, w_start, off, rank, n_anchors
+    windows: DataFrame  # item_id, item_hash, w_start, w_len, terms: array<term_id>
+    anchors: DataFrame  # term_id, item_id, item_hash, w_start, off, rank, n_anchors
 
 
 def _items(benchmark: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -73,36 +74,37 @@ def build_index(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     postings = stored.where(~F.col("is_end")).drop("is_end")
     docs = stored.where("is_end").groupBy(*DOC).agg(F.max("pos").cast("long").alias("n_words"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
-    windows = items.select("item_id", "words", F.explode(starts).alias("w_start"))
+    windows = items.select("item_id", F.xxhash64("words").alias("item_hash"), "words", F.explode(starts).alias("w_start"))
     cut = F.slice("words", F.col("w_start") + 1, F.lit(window))
-    windows = windows.select("item_id", "w_start", F.size(cut).alias("w_len"), F.transform(cut, lambda w: F.xxhash64(w)).alias("terms"))
+    windows = windows.select(*ITEM_WINDOW, F.size(cut).alias("w_len"), F.transform(cut, lambda w: F.xxhash64(w)).alias("terms"))
     freq = postings.groupBy("term_id").agg(F.count("*").alias("freq"))
-    flat = windows.select("item_id", "w_start", "w_len", F.posexplode("terms").alias("off", "term_id")).join(freq, "term_id", "left")
-    by_rarity = Window.partitionBy("item_id", "w_start").orderBy("freq", "off")
-    whole = Window.partitionBy("item_id", "w_start")
+    flat = windows.select(*ITEM_WINDOW, "w_len", F.posexplode("terms").alias("off", "term_id")).join(freq, "term_id", "left")
+    by_rarity = Window.partitionBy(*ITEM_WINDOW).orderBy("freq", "off")
+    whole = Window.partitionBy(*ITEM_WINDOW)
     flat = flat.withColumns({"rank": F.row_number().over(by_rarity), "least": F.min("freq").over(whole), "known": F.count("freq").over(whole)})
     # A window with a term that no document holds occurs nowhere.
     flat = flat.where((F.col("known") == F.col("w_len")) & (F.col("rank") <= RAREST))
     flat = flat.where((F.col("rank") == 1) | (F.col("freq") <= MORE_FREQUENT * F.col("least") + FREE))
-    anchors = flat.select("term_id", "item_id", "w_start", "off", "rank", F.count("*").over(whole).alias("n_anchors"))
+    anchors = flat.select("term_id", *ITEM_WINDOW, "off", "rank", F.count("*").over(whole).alias("n_anchors"))
     return PositionalIndex(postings, docs, settle(windows, "windows"), settle(anchors, "anchors"))
 
 
 def meetings(index: PositionalIndex) -> DataFrame:
     """Starts at which any of a window's rarest terms would put it."""
     at_ = index.postings.join(small(index.anchors, TERM_ROWS), "term_id")
-    return at_.select(*DOC, "item_id", "w_start", (F.col("pos") - F.col("off")).alias("start"), "rank", "n_anchors")
+    return at_.select(*DOC, *ITEM_WINDOW, (F.col("pos") - F.col("off")).alias("start"), "rank", "n_anchors")
 
 
 def phrases(index: PositionalIndex) -> DataFrame:
-    """Exact occurrences: doc_id, text_hash, item_id, w_start, start, w_len."""
-    key = [*DOC, "item_id", "w_start", "start"]
+    """Exact occurrences: doc_id, text_hash, item_id, item_hash, w_start,
+    start, w_len."""
+    key = [*DOC, *ITEM_WINDOW, "start"]
     met = meetings(index).where("start >= 0")
     # Postings of rows that occur twice appear twice; ranks are counted once.
     flags = [F.max(F.when(F.col("rank") == r, 1).otherwise(0)) for r in range(1, RAREST + 1)]
     met = met.groupBy(*key, "n_anchors").agg(sum(flags[1:], flags[0]).alias("n")).where("n = n_anchors").drop("n", "n_anchors")
     met = settle(met, "candidates")
-    full = met.join(small(index.windows, TERM_ROWS), ["item_id", "w_start"])
+    full = met.join(small(index.windows, TERM_ROWS), ITEM_WINDOW)
     full = full.select(*key, "w_len", F.posexplode("terms").alias("off", "term_id")).withColumn("pos", F.col("start") + F.col("off"))
     there = join_on(index.postings, small(met.select(*DOC).distinct(), DOC_ROWS), DOC, "left_semi")
     found = join_on(full, there, [*DOC, "pos", "term_id"], "left_semi")
@@ -115,7 +117,7 @@ def proximity(index: PositionalIndex, slop: int = 4) -> DataFrame:
     deviation of such a start: 0 for starts where they meet exactly."""
     met = meetings(index).where("n_anchors > 1").distinct()
     cell = F.floor(F.col("start") / F.lit(slop + 1))
-    key = [*DOC, "item_id", "w_start"]
+    key = [*DOC, *ITEM_WINDOW]
     first = met.where("rank = 1").select(*key, F.col("start").alias("s1"), "n_anchors", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     rest = met.where("rank > 1").select(*key, "start", "rank", cell.alias("cell"))
     near = join_on(first, rest, [*key, "cell"]).withColumn("off_by", F.abs(F.col("start") - F.col("s1"))).where(F.col("off_by") <= slop)

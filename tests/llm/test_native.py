@@ -59,6 +59,17 @@ def test_contamination_empty_and_repeated(spark):
     assert decontam.contamination(d, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_contamination_two_texts_of_one_item(spark):
+    """Both texts are whole in the corpus; their windows have one number."""
+    a, b = (" ".join(f"{c}{i}" for i in range(12)) for c in "pq")
+    items = [(1, a), (1, b), (2, "z y x")]
+    docs = [(10, f"u {a} v"), (11, b), (12, a[:20]), (13, "z y x"), (14, f"{a} {b}")]
+    d = spark.createDataFrame([(i, t, "k", "f") for i, t in docs], DOC)
+    rows = decontam.contamination(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows}
+    assert got == brute_contamination(docs, items) and got[11][1] == 12
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a1 b2 c3", "", ""), (2, "a1 x b2 y c3", "", ""), (3, "c3 " + "z " * 30 + "a1 b2", "", "")], DOC)
     b = spark.createDataFrame([(7, "a1 b2 c3")], "item_id bigint, text string")
