@@ -26,9 +26,12 @@ from pyspark.sql import types as T
 
 from . import arrowtext as at
 
-MIN_REPEAT = 12  # words; shorter repeats are ordinary language
-MAX_COVERED = 0.45  # fraction of a text's words in such repeats
-MAX_LONGEST = 0.30  # longest repeat, as a fraction of the text's words
+# The base rule fails texts with half their words in repeats of three or more,
+# so all of these have to act below it: two copies of a passage of 0.19 cover
+# 0.38 of a text.
+MIN_REPEAT = 5  # words; shorter repeats are ordinary language
+MAX_COVERED = 0.38  # fraction of a text's words in such repeats
+MAX_LONGEST = 0.19  # longest repeat, as a fraction of the text's words
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_covered", "longest_repeat"]

@@ -132,6 +132,14 @@ def test_repetition_verdict(spark):
     assert got == {1: (False, True), 2: (True, False), 3: (True, False), 4: (False, True)}
 
 
+def test_repetition_verdict_acts_below_the_base(spark):
+    say = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    long = f"{say('r', 60)} {say('a', 80)} {say('r', 60)} {say('b', 90)}"  # two copies of 21 %
+    short = " ".join(f"{say(f'r{k}x', 6)} {say(f'u{k}x', 2)} {say(f'r{k}x', 6)} {say(f'v{k}x', 15)}" for k in range(10))  # 120 of 290 words
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in repetition.rate(frame(spark, [(1, long), (2, short), (3, say("w", 290))])).collect()}
+    assert got == {1: (False, False), 2: (False, False), 3: (False, True)}
+
+
 def brute_pack(sizes, sources, clusters, capacity, per_source):
     bins, out = [], []
     for n, s, c in zip(sizes, sources, clusters):
