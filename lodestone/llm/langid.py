@@ -17,18 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settle
 from . import arrowtext as at
 from . import gru
+from .native import small
 
 SEGMENT = 64  # bytes read in one run of the network
 HIDDEN = 8  # units of each direction
 TRAIN_DOCS = 200  # bound on training documents of one language
 TRAIN_SEGMENTS = 12  # segments drawn from each of them
-MAX_LANGS = 64  # bound on learned languages, by count
+DRAWN_ROWS = 500_000  # bound for broadcasting the ids drawn
 
 
 class ByteTagger:
@@ -154,18 +156,18 @@ def train(documents: DataFrame, text: str = "text", label: str = "lang", id_colu
     not depend on partitioning. ``documents`` holds only rows to learn from.
     """
     rows = documents.where(F.col(label).isNotNull() & (F.length(text) > 0))
-    langs = [r[0] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LANGS).collect()]
+    # One pass for all languages. A row number of which only the first ones
+    # are asked for is cut down in each partition before the exchange.
+    k = F.xxhash64(F.col(id_column).cast("string"), F.lit(1))
+    by_hash = Window.partitionBy("lang").orderBy("k", id_column)
+    drawn = rows.select(F.col(label).alias("lang"), k.alias("k"), id_column)
+    drawn = drawn.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= docs_per_lang)
+    drawn = settle(drawn.select("lang", id_column), "drawn")
+    langs = sorted(r[0] for r in drawn.select("lang").distinct().collect())
     if not langs:
         return None
-    langs = sorted(langs)
-    drawn = None
-    for lang in langs:
-        part = rows.where(F.col(label) == lang).select(F.col(label).alias("lang"), F.xxhash64(F.col(id_column).cast("string"), F.lit(1)).alias("k"), id_column)
-        part = part.orderBy("k", id_column).limit(docs_per_lang)
-        drawn = part if drawn is None else drawn.unionByName(part)
     ids = drawn.select("lang", id_column).distinct()
-    # At most MAX_LANGS * docs_per_lang ids: small enough to broadcast.
-    picked = rows.select(id_column, text).join(F.broadcast(ids), id_column)
+    picked = rows.select(id_column, text).join(small(ids, DRAWN_ROWS), id_column)
     size, rng = SEGMENT, np.random.default_rng(11)
     codes, masks, labels = [], [], []
     # A text gives TRAIN_SEGMENTS evenly spread pieces; only these travel.

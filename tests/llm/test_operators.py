@@ -225,6 +225,13 @@ def test_language_id(spark):
     assert langid.identify(d.limit(0)).count() == 0
 
 
+def test_language_id_learns_every_language(spark):
+    rows = [(100 * k + i, chr(0x4E00 + 97 * k) * 30, f"l{k:02}") for k in range(70) for i in range(4)]
+    d = spark.createDataFrame([*rows, (9999, "no label", None)], "doc_id bigint, text string, lang string")
+    net = langid.train(d, docs_per_lang=3, epochs=1)
+    assert net.langs == sorted({lang for _, _, lang in rows})
+
+
 def test_toxicity(spark):
     rng = random.Random(0)
     plain = [f"w{i}" for i in range(60)]
