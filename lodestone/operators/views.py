@@ -204,10 +204,11 @@ def first_fit_buffer(lengths: Sequence[int], ends: Sequence[bool], starts: Seque
     return pack
 
 
-def first_fit_packs(examples: DataFrame, limit: int = 1024, fill: float = 0.8, max_docs: int = 3, buffer: int = 200, order: str = "ord", group: str = "source") -> DataFrame:
+def first_fit_packs(examples: DataFrame, limit: int = 1024, fill: float = 0.8, max_docs: int = 3, buffer: int = 200, order: str | Sequence[str] = "ord", group: str = "source") -> DataFrame:
     """uid, pack_uid: examples packed inside buffers of consecutive ones.
     Buffers are independent, so each is packed by itself."""
-    w = Window.partitionBy(group).orderBy(order)
+    order = [order] if isinstance(order, str) else list(order)
+    w = Window.partitionBy(group).orderBy(*order)
     rows = examples.withColumn("buffer", F.floor((F.row_number().over(w) - 1) / buffer).cast("int"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
@@ -216,7 +217,7 @@ def first_fit_packs(examples: DataFrame, limit: int = 1024, fill: float = 0.8, m
         return pd.DataFrame({"uid": b["uid"].to_numpy(), "pack_uid": b["uid"].to_numpy()[pack]})
 
     kind = dict(examples.dtypes)["uid"]
-    return rows.select(group, "buffer", order, "uid", "length", "ends", "starts").groupBy(group, "buffer").applyInPandas(run, f"uid {kind}, pack_uid {kind}")
+    return rows.select(group, "buffer", *order, "uid", "length", "ends", "starts").groupBy(group, "buffer").applyInPandas(run, f"uid {kind}, pack_uid {kind}")
 
 
 def position_weights(mask: Column, bands: Sequence[tuple[int, float]], last: float) -> Column:

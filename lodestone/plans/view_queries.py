@@ -99,8 +99,11 @@ def mixture_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("first_fit_packs")
 def first_fit_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = reader(spark, sf_dir)("documents").where("n_chars <= 1024").select("source", F.col("doc_id").alias("uid"), F.col("doc_id").alias("ord"), F.col("n_chars").alias("length"), F.lit(True).alias("ends"), F.lit(True).alias("starts"))
-    return views.first_fit_packs(d)
+    """The windows of all documents; uid is the document and the start."""
+    d = reader(spark, sf_dir)("documents").select("doc_id", "source", F.col("n_chars").alias("n"), F.explode(views.windows(F.col("n_chars"))).alias("w"))
+    uid = F.concat_ws(":", "doc_id", "w.start")
+    rows = d.select("source", "doc_id", "w.start", uid.alias("uid"), (F.col("w.stop") - F.col("w.start")).alias("length"), (F.col("w.stop") == F.col("n")).alias("ends"), (F.col("w.start") == 0).alias("starts"))
+    return views.first_fit_packs(rows, order=["doc_id", "start"])
 
 
 @query("feedback_prompts", f"WITH {TURNS_SQL} SELECT conv_id::VARCHAR AS record_id, (row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1)::INT AS i, (row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1)::INT AS history_size FROM per")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions import verifiers as vf
 from lodestone.operators import metrics, near_duplicates as nd, predicates, sampling, snapshot, transforms as tr, views
+from lodestone.plans import registry
 
 
 def chat(spark, *rows):
@@ -217,6 +218,45 @@ def test_packing_golden(spark):
     assert views.first_fit_buffer([3, 4, 9, 2], [True, True, False, True], [True] * 4, 10, 0.8, 3) == [0, 0, 2, 0]
 
 
+def test_packs_hold_windows_of_all_documents(spark, tmp_path):
+    """The query against brute force, with texts longer than a window."""
+    import random
+
+    rng = random.Random(5)
+    docs = [(i, f"s{i % 2}", rng.choice([0, 40, 300, 700, 1024, 1025, 1200, 1930, 5000])) for i in range(300)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for source in ("s0", "s1"):
+        rows = []
+        for i, s, n in docs:
+            start = 0
+            while s == source and n:
+                stop = min(start + 1024, n)
+                if start and stop - start - 128 < 256:
+                    start, stop = n - 1024, n
+                rows.append((f"{i}:{start}", stop - start, stop == n, start == 0))
+                if stop == n:
+                    break
+                start += 896
+        for k in range(0, len(rows), 200):
+            batch = list(rows[k : k + 200])
+            for a, row in enumerate(batch):
+                if row is None:
+                    continue
+                size, closed, n = row[1], row[2], 1
+                want[row[0]] = row[0]
+                if size >= 0.8 * 1024 or not closed:
+                    continue
+                for b in range(a + 1, len(batch)):
+                    if batch[b] and batch[b][3] and batch[b][1] <= 1024 - size - (not closed):
+                        size, closed, n = size + batch[b][1] + (not closed), batch[b][2], n + 1
+                        want[batch[b][0]], batch[b] = row[0], None
+                        if n >= 3 or size >= 0.8 * 1024:
+                            break
+    got = {r["uid"]: r["pack_uid"] for r in registry.queries()["first_fit_packs"](spark, str(tmp_path)).collect()}
+    assert got == want and any(u.endswith(":896") for u in got)
+
+
 def test_context_suffix(spark):
     one = spark.range(1).select(views.newest_that_fit(F.array(F.lit(4), F.lit(9), F.lit(3)), F.lit(10)).alias("n"))
     assert one.first()["n"] == 1
