@@ -1,7 +1,8 @@
 """Queries of signatures, candidate pairs, clusters and verdicts.
 
 The queries use 16 hashes in bands of 4 over the portable base hash, so that
-SQL can state the same signature.
+SQL can state the same signature; those named ``_128`` use the operator's 128
+hashes in 16 bands of 8 over XXH3, and have no SQL.
 """
 
 from __future__ import annotations
@@ -70,6 +71,12 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(nd.edges(pairs, docs, bench), "duplicate-edges")
 
 
+def _edges_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = reader(spark, sf_dir)("benchmark").select(F.concat(F.lit("bench_"), F.col("item_id").cast("string")).alias("rec_id"), "text")
+    docs, bench = (settle(nd.signatures(x, "text", base="xxh3").drop("text"), "signatures") for x in (_docs(spark, sf_dir), bench))
+    return settle(nd.edges(nd.candidate_pairs(nd.bands(docs), nd.bands(bench)), docs, bench), "duplicate-edges")
+
+
 @query("minhash_signatures", f"WITH {DOC_ROWS}, {SIG_SQL.replace('{rows}', 'doc')} SELECT rec_id, list_transform(v, lambda x: (CASE WHEN x >= 9223372036854775808::UHUGEINT THEN x::HUGEINT - {_M}::HUGEINT ELSE x::HUGEINT END)::BIGINT) AS sig_vector FROM sig")
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.signatures(_docs(spark, sf_dir), "text", HASHES).drop("text")
@@ -125,3 +132,19 @@ def records_after_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _edges(spark, sf_dir)
     kept = docs.join(nd.verdicts(nd.components(e), e), "rec_id", "left_anti")
     return kept.groupBy("src_id").agg(F.count("*").alias("kept"), F.sum("n_chars").alias("kept_chars"))
+
+
+@query("duplicate_edges_128")
+def duplicate_edges_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges_128(spark, sf_dir)
+
+
+@query("duplicate_clusters_128")
+def duplicate_clusters_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nd.components(_edges_128(spark, sf_dir))
+
+
+@query("dedup_verdicts_128")
+def dedup_verdicts_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges_128(spark, sf_dir)
+    return nd.verdicts(nd.components(e), e)

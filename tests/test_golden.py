@@ -257,6 +257,60 @@ def test_packs_hold_windows_of_all_documents(spark, tmp_path):
     assert got == want and any(u.endswith(":896") for u in got)
 
 
+def test_edges_of_128_hashes_equal_brute_force(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(9000)}" for _ in range(150)] for _ in range(6)]
+
+    def near(w):
+        w = list(w)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(9000)}"
+        return " ".join(w)
+
+    docs, items = [(i, "s", near(base[i % 6])) for i in range(36)], [(1, near(base[0])), (2, "a b c d e f")]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    import xxhash
+
+    def sign(t):
+        w, m = t.split(), (1 << 64) - 1
+        out = [m] * 128
+        for h in {xxhash.xxh3_64_intdigest(" ".join(w[i : i + 5])) for i in range(len(w) - 4)}:
+            for s in range(128):
+                x = h ^ ((s + 1) * nd.GOLDEN & m)
+                x = (x ^ x >> 30) * nd.MIX_1 & m
+                x = (x ^ x >> 27) * nd.MIX_2 & m
+                out[s] = min(out[s], x ^ x >> 31)
+        return out
+
+    sig = {f"s_{i}": sign(t) for i, _, t in docs} | {f"bench_{i}": sign(t) for i, t in items}
+    want, group = {}, {k: k for k in sig}
+    for a in sig:
+        for b in sig:
+            if a.startswith("s_") and (b.startswith("bench_") or b > a):
+                same = sum(x == y for x, y in zip(sig[a], sig[b]))
+                if same >= 96 and any(sig[a][k : k + 8] == sig[b][k : k + 8] for k in range(0, 128, 8)):
+                    want[a, b] = same / 128
+    for _ in sig:
+        for a, b in want:
+            group[a] = group[b] = min(group[a], group[b])
+    linked = {x for e in want for x in e}
+    q = registry.queries()
+    edges = {(r["uid1"], r["uid2"]): r["similarity"] for r in q["duplicate_edges_128"](spark, str(tmp_path)).collect()}
+    assert edges == want and len(want) > 5
+    assert {r["id"]: r["component"] for r in q["duplicate_clusters_128"](spark, str(tmp_path)).collect()} == {x: group[x] for x in linked}
+    gone = {}
+    for x in linked - {k for k in linked if k.startswith("bench_")}:
+        members = [y for y in linked if group[y] == group[x]]
+        if any(y.startswith("bench_") for y in members):
+            gone[x] = "reference"
+        elif x != min(members):
+            gone[x] = "within_snapshot"
+    assert {r["rec_id"]: r["reason"] for r in q["dedup_verdicts_128"](spark, str(tmp_path)).collect()} == gone
+
+
 def test_context_suffix(spark):
     one = spark.range(1).select(views.newest_that_fit(F.array(F.lit(4), F.lit(9), F.lit(3)), F.lit(10)).alias("n"))
     assert one.first()["n"] == 1
