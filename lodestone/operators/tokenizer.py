@@ -63,6 +63,33 @@ def audit(vocab: DataFrame, token: str = "token") -> DataFrame:
     })
 
 
+def flags(vocab: DataFrame, token: str = "token") -> DataFrame:
+    """All predicates of the reference's audit, on the token as it is or, for
+    those on what it looks like, stripped and lower-cased."""
+    c = F.col(token)
+    space = r"[\s\x1C-\x1F]"
+    low = F.lower(F.regexp_replace(c, rf"(?U)\A{space}+|{space}+\z", ""))
+    operator, alnum = c.rlike(r"[-+*/=%<>!&|^~]"), c.rlike(r"[\p{L}\p{N}]")
+    digit = c.rlike("[0-9]")
+    parts = "http https http:// https:// www www. :// // .com .org .net .io .fr .co .ai .gov .edu".split()
+    return vocab.withColumns({
+        "single_digit": c.rlike(r"\A[0-9]\z"),
+        "pure_digits": c.rlike(r"\A[0-9]{2,}\z"),
+        "digit_run": c.rlike("[0-9]{2,}"),
+        "digit_and_other": digit & c.rlike("[^0-9]"),
+        "operator": operator,
+        "digit_and_operator": digit & operator,
+        "operator_and_alnum": operator & alnum,
+        "url": low.isin(parts) | low.rlike(r"://|www\.") | low.rlike(r"(?:\A|[^a-z0-9])(?:[a-z0-9-]+\.)+(?:com|org|net|io|fr|co|ai|gov|edu)(?:/|\n?\z)"),
+        "email": low.rlike(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"),
+        "path": c.rlike(r"[/\\]") & alnum,
+        "hex": low.rlike(r"0x[0-9a-f]{2,}|[0-9a-f]{12,}|\A[0-9a-f]{8,}\z"),
+        "inner_whitespace": c.rlike(rf"(?U)[^\s\x1C-\x1F]{space}+[^\s\x1C-\x1F]"),
+        "very_long": (F.length(c) >= 24) | (F.octet_length(c) >= 32),
+        "suspicious": c.rlike(r"[\p{Cc}\p{Cf}\u00A0\u034F\u2007\u202F]"),
+    })
+
+
 def digit_wise(vocab: DataFrame, token: str = "token") -> DataFrame:
     """Tokens that break the rule of one digit a token."""
     return vocab.where(F.col(token).rlike(r"[0-9].*[0-9]"))

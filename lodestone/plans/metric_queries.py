@@ -184,6 +184,13 @@ def vocabulary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.audit(w.groupBy("token").agg(F.count("*").alias("n")).where("n >= 20"))
 
 
+@query("vocabulary_audit_full")
+def vocabulary_audit_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens, however rare, by all predicates."""
+    w = reader(spark, sf_dir)("documents").select(F.explode(F.split("text", r"\s+")).alias("token")).where("token <> ''")
+    return tk.flags(w.groupBy("token").agg(F.count("*").alias("n")))
+
+
 @query("events_stream_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def events_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts of a stream of files, drained to its end."""

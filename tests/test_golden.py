@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import verifiers as vf
-from lodestone.operators import metrics, near_duplicates as nd, predicates, sampling, snapshot, transforms as tr, views
+from lodestone.operators import metrics, near_duplicates as nd, predicates, sampling, snapshot, tokenizer as tk, transforms as tr, views
 from lodestone.plans import registry
 
 
@@ -311,6 +311,21 @@ def test_edges_of_128_hashes_equal_brute_force(spark, tmp_path):
     assert {r["rec_id"]: r["reason"] for r in q["dedup_verdicts_128"](spark, str(tmp_path)).collect()} == gone
 
 
+def test_audit_of_rare_tokens(spark, tmp_path):
+    text = "plain plain a@b.org see.Example.com/x HTTP 0xff deadbeef12345678 7 42 v2 x<=1 /usr/bin // " + "l" * 24 + " soft\u00adhyphen"
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["token"]: r for r in registry.queries()["vocabulary_audit_full"](spark, str(tmp_path)).collect()}
+    assert set(rows) == set(text.split()) and rows["plain"]["n"] == 2
+    on = {t: {c for c, v in r.asDict().items() if v is True} for t, r in rows.items()}
+    assert on["plain"] == set() and on["HTTP"] == {"url"} and on["7"] == {"single_digit"} and on["42"] == {"pure_digits", "digit_run"}
+    assert on["a@b.org"] >= {"email"} and on["see.Example.com/x"] >= {"url", "path"} and on["//"] == {"url", "operator"}
+    assert on["0xff"] == {"hex", "digit_and_other"} and on["deadbeef12345678"] == {"hex", "digit_run", "digit_and_other"}
+    assert on["x<=1"] == {"operator", "digit_and_operator", "operator_and_alnum", "digit_and_other"}
+    assert on["/usr/bin"] == {"path", "operator", "operator_and_alnum"} and on["l" * 24] == {"very_long"} and on["soft\u00adhyphen"] == {"suspicious"}
+    inner = tk.flags(spark.createDataFrame([("a b",), (" ab ",)], "token string")).collect()
+    assert [r["inner_whitespace"] for r in inner] == [True, False]
+
+
 def test_context_suffix(spark):
     one = spark.range(1).select(views.newest_that_fit(F.array(F.lit(4), F.lit(9), F.lit(3)), F.lit(10)).alias("n"))
     assert one.first()["n"] == 1
