@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontam, jaccard, langid, linededup, packing
 from lodestone.session import settle, table
 
-#: Below this pooled probability no language is accepted. With two languages
-#: or more the best one is seldom that unlikely for a text in any of them.
-LEAST_SCORE = 0.25
+#: A pooled probability is at least 1/k for k languages. Below this share of
+#: the way from there to 1 no language is accepted; texts of fewer characters
+#: than SHORT are pooled over few positions, and so unsure even if clean.
+LEAST_SHARE, SHORT_SHARE, SHORT = 1 / 3, 0.1, 100
 
 #: Stages 1 and 5 cannot be expressed in SQL; the tests compare them with
 #: brute-force versions.
@@ -25,8 +26,12 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts in no learned language: without a letter, or unsure."""
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"), F.col("lang"))
-    found = langid.identify(rows)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    net = langid.train(rows.where(~langid.held_out()))
+    least = 1 / len(net.langs) if net else 1.0
+    share = F.when(F.length("text") < SHORT, SHORT_SHARE).otherwise(LEAST_SHARE)
+    # Less a little for rounding: with one language every score is 1.
+    least = least + share * (1 - least) - 1e-6
+    return langid.predict(rows, net).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

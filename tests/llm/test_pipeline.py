@@ -25,5 +25,20 @@ def test_stages_take_empty_documents(spark):
         assert stage(spark, docs, SF).count() == 0, name
 
 
+def test_no_learned_language(spark):
+    """Unreadable bytes go, clean held-out texts stay."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(0)
+    noise = [(10**9 + i, "".join(chr(rng.randrange(33, 0x2000)) for _ in range(600)) + "a") for i in range(20)]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    bad = spark.createDataFrame(noise, "doc_id bigint, text string").withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.language_id(spark, docs.unionByName(bad), SF)
+    assert out.where("doc_id >= 1000000000").count() == 0
+    assert out.where("doc_id < 1000000000").count() >= 0.995 * docs.count()
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard", "decontamination", "best_fit_packing"]
