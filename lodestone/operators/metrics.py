@@ -148,6 +148,25 @@ def segment_stats(examples: DataFrame, group: str) -> DataFrame:
     )
 
 
+def context_losses(encoded: DataFrame, group: Sequence[str]) -> DataFrame:
+    """What the budget of a view cost its exchanges, by group.
+
+    encoded: the rows of ``encode_turns`` with had_scratchpad and
+    had_system; rejected exchanges are not part of a view.
+    """
+    dropped = F.col("history_size") - F.col("history_kept")
+    return encoded.where(~F.col("rejected")).groupBy(*group).agg(
+        F.count("*").alias("segments"),
+        F.count_if(F.col("history_size") > 0).alias("with_history"),
+        F.count_if(dropped > 0).alias("history_reduced"),
+        F.sum(dropped).cast("bigint").alias("turns_dropped"),
+        F.count_if("had_scratchpad").alias("with_scratchpad"),
+        F.count_if(F.col("had_scratchpad") & ~F.col("has_scratchpad")).alias("scratchpad_removed"),
+        F.count_if("had_system").alias("with_system"),
+        F.count_if(F.col("had_system") & ~F.col("has_system")).alias("system_dropped"),
+    )
+
+
 def capacity(sources: DataFrame, budget: int) -> DataFrame:
     """Whether each mixture source lasts for the budget. sources: source,
     units, passes, allowed, weight."""

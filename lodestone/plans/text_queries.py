@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import chat
+from ..functions import formats as fm
 from ..functions import text as tx
 from ..operators import near_duplicates as nd
 from .catalog import query, reader
@@ -108,3 +110,68 @@ def think_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rate_schedule", "SELECT doc_id, round(CASE WHEN doc_id < 100 THEN 0.1 + 0.9 * (doc_id / 100.0::DOUBLE) WHEN doc_id < 300 THEN 1.0 ELSE 0.2 + 0.8 * (0.5 * (1 + cos(3.141592653589793 * least(1.0, (doc_id - 300) / 500.0::DOUBLE)))) END::DOUBLE, 9) AS rate FROM documents")
 def rate_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader(spark, sf_dir)("documents").select("doc_id", F.round(tx.schedule(F.col("doc_id"), 100, 300, 500, 0.1, 1.0, 0.2), 9).alias("rate"))
+
+
+@query("number_formats", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN 'n/a' ELSE format('{:,}', l_orderkey * 1000 + l_linenumber) END AS grouped, CASE WHEN l_linenumber > 1 THEN printf('%.2f%%', 100.0 * l_linenumber / 7) ELSE 'n/a' END AS share, replace(format('{:,}', l_orderkey * 1000), ',', '_') || CASE WHEN l_orderkey > 0 THEN ' (25.00%)' ELSE ' (n/a)' END AS metric FROM lineitem")
+def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = reader(spark, sf_dir)("lineitem")
+    n = F.col("l_orderkey") * 1000
+    grouped = fm.grouped_int(F.when(F.col("l_linenumber") != 3, n + F.col("l_linenumber")))
+    share = fm.percent_of(F.col("l_linenumber"), F.when(F.col("l_linenumber") > 1, 7).otherwise(0))
+    return d.select("l_orderkey", "l_linenumber", grouped.alias("grouped"), share.alias("share"), fm.metric(n, 4 * n).alias("metric"))
+
+
+@query("epoch_times", "SELECT event_id, epoch_us(ts) // 1000 AS ms, strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00') AS iso FROM events")
+def epoch_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = reader(spark, sf_dir)("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    seconds = (F.unix_micros("ts") / F.lit(1_000_000).cast("decimal(20,0)")).cast("decimal(28,6)").cast("string")
+    return e.select("event_id", fm.unix_ms(F.col("ts")).alias("ms"), fm.iso_utc(seconds).alias("iso"))
+
+
+CHAT_SQL = """x AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS next FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ex AS (SELECT conv_id, turn, text AS u, answer AS a FROM x WHERE role = 'user' AND next = 'assistant'),
+sy AS (SELECT conv_id, max(text) AS s FROM conversations WHERE role = 'system' GROUP BY conv_id),
+h AS (SELECT b.conv_id, b.turn, coalesce(string_agg('[:user:]' || e.u || '[:eot:][:assistant:][:final:]' || e.a || '[:eot:]', '' ORDER BY e.turn), '') AS hist FROM ex b LEFT JOIN ex e ON e.conv_id = b.conv_id AND e.turn < b.turn GROUP BY ALL)"""
+
+
+def _exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, user, assistant, history, system."""
+    c = reader(spark, sf_dir)("conversations").select("conv_id", "turn", "role", "text")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    x = c.where("role <> 'system'").withColumns({"assistant": F.lead("text").over(w), "next": F.lead("role").over(w)})
+    x = x.where("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("user"), "assistant")
+    x = x.withColumn("history", F.collect_list(F.struct("user", "assistant")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    system = c.where("role = 'system'").groupBy("conv_id").agg(F.max("text").alias("system"))
+    return x.join(system, "conv_id", "left")
+
+
+@query("chat_prompts", f"WITH {CHAT_SQL} SELECT ex.conv_id, ex.turn, coalesce('[:system:]' || s || '[:eot:]', '') || hist || '[:user:]' || u || '[:eot:][:assistant:][:task:]' AS prompt, '[:task:]talk[:format:]text[:scratchpad:]why[:final:]' || a || '[:eot:]' AS completion FROM ex JOIN h USING (conv_id, turn) LEFT JOIN sy ON ex.conv_id = sy.conv_id")
+def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _exchanges(spark, sf_dir)
+    text = chat.prompt(chat.prompt_blocks(F.col("system"), F.col("history"), F.col("user"), start=chat.opening("task")))
+    said = chat.completion(F.col("assistant"), task=F.lit("talk"), format=F.lit("text"), scratchpad=F.lit("why"))
+    return x.select("conv_id", "turn", text.alias("prompt"), said.alias("completion"))
+
+
+@query("chat_parsed", f"WITH {CHAT_SQL} SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '[:task:]talk' || trim(a, ' ' || chr(10)) ELSE trim(a, ' ' || chr(10)) END AS final, CASE WHEN turn % 3 = 0 THEN NULL ELSE 'talk' END AS task, CASE WHEN turn % 3 = 1 THEN 'why' END AS scratchpad FROM ex")
+def chat_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that were rendered are parsed again; every third one lacks the
+    token of the final answer, so that all of it is one."""
+    x = _exchanges(spark, sf_dir).withColumn("assistant", F.regexp_replace("assistant", r"^[ \n]+|[ \n]+$", ""))
+    why = F.when(F.col("turn") % 3 == 1, "why")
+    whole = chat.completion(F.col("assistant"), task=F.lit("talk"), scratchpad=why)
+    text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("[:task:]talk"), "assistant", F.lit("[:eot:]rest"))).otherwise(whole)
+    return x.select("conv_id", "turn", chat.parse_completion(text).alias("p")).select("conv_id", "turn", "p.final", "p.task", "p.scratchpad")
+
+
+@query(
+    "chat_fitted",
+    f"""WITH {CHAT_SQL}, t AS (SELECT b.conv_id, b.turn, length(coalesce('[:system:]' || s || '[:eot:]', '')) + length('[:user:][:eot:][:assistant:][:final:]') AS frame, length(b.u) AS n FROM ex b LEFT JOIN sy ON b.conv_id = sy.conv_id),
+ r AS (SELECT b.conv_id, b.turn, sum(length(e.u) + length(e.a) + length('[:user:][:eot:][:assistant:][:final:][:eot:]')) OVER (PARTITION BY b.conv_id, b.turn ORDER BY e.turn DESC) AS used FROM ex b JOIN ex e ON e.conv_id = b.conv_id AND e.turn < b.turn)
+ SELECT t.conv_id, t.turn, 900 - frame - n < 0 AS cut, count(used) FILTER (WHERE used <= 900 - frame - n)::INT AS turns,
+   (CASE WHEN 900 - frame - n < 0 THEN 900 + length('**TRUNCATED **') + 2 ELSE frame + n + coalesce(max(used) FILTER (WHERE used <= 900 - frame - n), 0) END)::INT AS n_chars
+ FROM t LEFT JOIN r ON t.conv_id = r.conv_id AND t.turn = r.turn GROUP BY t.conv_id, t.turn, frame, n""",
+)
+def chat_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _exchanges(spark, sf_dir).select("conv_id", "turn", chat.fit(F.col("system"), F.col("history"), F.col("user"), 900).alias("f"))
+    return x.select("conv_id", "turn", "f.cut", "f.turns", F.length("f.text").alias("n_chars"))

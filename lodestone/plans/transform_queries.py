@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import presets, threads
 from ..operators import transforms as tr
 from .catalog import query, reader
 
@@ -97,3 +98,41 @@ def equation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookup_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = reader(spark, sf_dir)("documents").select(F.col("doc_id").cast("string").alias("record_id"), "text")
     return tr.lookup_retrieval(d)
+
+
+@query(
+    "thread_messages",
+    """WITH e AS (SELECT conv_id::VARCHAR AS thread, turn AS seq, role, text, role = 'assistant' AS answer, role = 'assistant' AND turn % 4 = 0 AS replaces FROM conversations),
+ o AS (SELECT *, NOT answer OR NOT replaces OR coalesce(sum(answer::INT) OVER (PARTITION BY thread ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS opens FROM e),
+ s AS (SELECT *, CASE WHEN answer THEN sum((answer AND opens)::INT) OVER (PARTITION BY thread ORDER BY seq) ELSE -seq - 1 END AS slot FROM o),
+ m AS (SELECT thread, min(seq) AS first, arg_max(role, seq) AS role, arg_max(text, seq) AS content, max(seq)::VARCHAR AS stamp FROM s GROUP BY thread, slot)
+ SELECT thread, row_number() OVER (PARTITION BY thread ORDER BY first)::INT AS place, role, content, stamp AS "at" FROM m""",
+)
+def thread_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other answer replaces the one before it."""
+    c = reader(spark, sf_dir)("conversations")
+    op = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 0), "replace").otherwise("append")
+    events = c.select(F.col("conv_id").cast("string").alias("thread"), F.col("turn").alias("seq"), op.alias("op"), "role", F.col("text").alias("content"), F.col("turn").cast("string").alias("at"))
+    return threads.thread_log(events)
+
+
+@query(
+    "manifests_migrated",
+    """SELECT p_partkey, CASE p_size % 3
+  WHEN 0 THEN '{"configuration": {"task": {"params": {"assistant_format": "legacy"}, "wrapper_class": "CausalLmTaskWrapper"}}, "run_id": "r' || p_partkey || '", "version": 6}'
+  WHEN 1 THEN '{"configuration": {"task_config": {"params": {"assistant_format": "normalized"}, "wrapper_class": "CausalLmTaskWrapper"}}, "version": 6}'
+  ELSE '{"configuration": {"evaluation_configs": [{"task_config": {"params": {"assistant_format": "legacy", "k": ' || p_size || '}, "wrapper_class": "CausalLmTaskWrapper"}}]}, "version": 6}' END AS manifest FROM part""",
+)
+def manifests_migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of versions 1, 3 and 4."""
+    kind, key, size = F.col("p_size") % 3, F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    first = F.concat(F.lit('{"run_id": "r'), key, F.lit('", "configuration": {"task": {"wrapper_class": "CausalLmTaskWrapper"}}}'))
+    third = F.lit('{"version": 3, "configs": {"task_config": {"wrapper_class": "CausalLmTaskWrapper", "params": {"assistant_format": "normalized"}}}}')
+    fourth = F.concat(F.lit('{"version": 4, "configuration": {"evaluation_configs": [{"task_config": {"wrapper_class": "CausalLmTaskWrapper", "params": {"k": '), size, F.lit("}}}]}}"))
+    text = F.when(kind == 0, first).when(kind == 1, third).otherwise(fourth)
+    return reader(spark, sf_dir)("part").select("p_partkey", presets.migrated_column(text).alias("manifest"))
+
+
+@query("file_catalogue")
+def file_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presets.catalogue(spark, sf_dir).select(F.element_at(F.split("file", "/"), -1).alias("name"), "bytes")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import views
+from ..operators import metrics, views
 from .catalog import query, reader
 
 WINDOW_SQL = """w AS (
@@ -66,20 +66,31 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(system, "conv_id", "left").withColumns({"system_len": F.coalesce("system_len", F.lit(0)), "scratchpad_len": F.lit(0)}).withColumnRenamed("conv_id", "record_id")
 
 
-@query(
-    "encode_turns",
-    f"""WITH {TURNS_SQL}, h AS (
+ENCODED_SQL = f"""{TURNS_SQL}, h AS (
   SELECT a.conv_id, a.i, b.i AS bi, sum(b.p + b.c) OVER (PARTITION BY a.conv_id, a.i ORDER BY b.i DESC) AS used, 1200 - a.p - a.c AS room
   FROM per a JOIN per b ON a.conv_id = b.conv_id AND b.i < a.i),
- k AS (SELECT conv_id, i, count(*) FILTER (WHERE used <= room) AS kept, coalesce(max(used) FILTER (WHERE used <= room), 0) AS used, count(*) AS size FROM h GROUP BY ALL)
- SELECT per.conv_id AS record_id, per.i, p + c > 1200 AS rejected, false AS has_scratchpad, CASE WHEN p + c > 1200 THEN 0 ELSE coalesce(kept, 0) END::INT AS history_kept, coalesce(size, 0)::INT AS history_size,
-   p + c <= 1200 AND coalesce(s, 0) > 0 AND coalesce(s, 0) <= 1200 - p - c - coalesce(used, 0) AS has_system
- FROM per LEFT JOIN k ON per.conv_id = k.conv_id AND per.i = k.i LEFT JOIN sys ON per.conv_id = sys.conv_id""",
-)
+ k AS (SELECT conv_id, i, count(*) FILTER (WHERE used <= room) AS kept, coalesce(max(used) FILTER (WHERE used <= room), 0) AS used, count(*) AS size FROM h GROUP BY ALL),
+ enc AS (SELECT per.conv_id AS record_id, per.i, p + c > 1200 AS rejected, false AS has_scratchpad, CASE WHEN p + c > 1200 THEN 0 ELSE coalesce(kept, 0) END::INT AS history_kept, coalesce(size, 0)::INT AS history_size,
+   p + c <= 1200 AND coalesce(s, 0) > 0 AND coalesce(s, 0) <= 1200 - p - c - coalesce(used, 0) AS has_system, coalesce(s, 0) > 0 AS had_system
+ FROM per LEFT JOIN k ON per.conv_id = k.conv_id AND per.i = k.i LEFT JOIN sys ON per.conv_id = sys.conv_id)"""
+
+
+@query("encode_turns", f"WITH {ENCODED_SQL} SELECT * EXCLUDE (had_system) FROM enc")
 def encode_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.encode_turns(_turns(spark, sf_dir), 1200)
 
 
+@query(
+    "context_losses",
+    f"WITH {ENCODED_SQL} SELECT (record_id % 4)::INT AS part, count(*) AS segments, count(*) FILTER (WHERE history_size > 0) AS with_history, count(*) FILTER (WHERE history_kept < history_size) AS history_reduced, sum(history_size - history_kept)::BIGINT AS turns_dropped, 0::BIGINT AS with_scratchpad, 0::BIGINT AS scratchpad_removed, count(*) FILTER (WHERE had_system) AS with_system, count(*) FILTER (WHERE had_system AND NOT has_system) AS system_dropped FROM enc WHERE NOT rejected GROUP BY 1",
+)
+def context_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _turns(spark, sf_dir)
+    had = turns.select("record_id", "i", (F.col("system_len") > 0).alias("had_system"), (F.col("scratchpad_len") > 0).alias("had_scratchpad"))
+    encoded = views.encode_turns(turns, 1200).join(had, ["record_id", "i"])
+    return metrics.context_losses(encoded.withColumn("part", (F.col("record_id") % 4).cast("int")), ["part"])
+
+
 WEIGHTS = {"src1": 1.0, "src2": 2.0, "src3": 0.5}
 
 

@@ -434,3 +434,108 @@ def test_tokenizer(spark):
     n = [r[0] for r in d.select(tk.token_count(F.col("t"), text)).collect()]
     assert n[0] >= 1 and n[1] == 0
     assert tk.vocabulary(spark, text).count() > 1000
+
+
+def test_chat_opening_and_styles(spark):
+    from lodestone.functions import chat
+
+    assert chat.opening() == "[:final:]" and chat.opening("task") == "[:task:]"
+    assert chat.opening("format", task="t", verbosity="v") == "[:task:]t[:verbosity:]v[:format:]"
+    assert chat.opening("scratchpad", format="f") == "[:format:]f[:scratchpad:]"
+    for bad in ({"last": "task", "format": "f"}, {"last": "final", "task": ""}, {"last": "end"}):
+        with pytest.raises(ValueError):
+            chat.opening(**bad)
+    row = spark.createDataFrame([("s", [("u", "a")], "now", "w")], "s string, h array<struct<user:string,assistant:string>>, c string, w string")
+    for style, want in {
+        "normalized": ("[:system:]s[:eot:][:user:]u[:eot:][:assistant:][:final:]a[:eot:][:user:]now[:eot:][:assistant:][:final:]", "[:task:]t[:scratchpad:]w[:final:]now[:eot:]"),
+        "legacy": ("[:system:]s[:eot:][:user:]u[:eot:][:assistant:]a[:eot:][:user:]now[:eot:][:assistant:]", "[:task:]t<think>w</think>now[:eot:]"),
+        "plain": ("s\n\nu\na\n\nnow", "<think>w</think>now"),
+    }.items():
+        got = row.select(chat.prompt(chat.prompt_blocks(F.col("s"), F.col("h"), F.col("c"), style)), chat.completion(F.col("c"), task=F.lit("t"), scratchpad=F.col("w"), style=style)).first()
+        assert tuple(got) == want, style
+
+
+def test_chat_parse(spark):
+    from lodestone.functions import chat
+
+    cases = {
+        " [:task:]t[:format:]b[:verbosity:]c[:final:]d[:eot:]x": ("d", "t", None, "b[:verbosity:]c", None),
+        "[:scratchpad:]w[:final:]d": ("d", None, None, None, "w"),
+        "[:task:][:final:]d": ("d", None, None, None, None),
+        "[:task:]t": ("[:task:]t", None, None, None, None),
+        "[:task:]t[:scratchpad:]w": ("[:task:]t[:scratchpad:]w", None, None, None, None),
+        "x [:final:]d ": ("x [:final:]d", None, None, None, None),
+        "[:final:]a\n[:final:]b": ("a\n[:final:]b", None, None, None, None),
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", chat.parse_completion(F.col("t")).alias("p")).collect()
+    assert {r["t"]: (r["p"]["final"], r["p"]["task"], r["p"]["verbosity"], r["p"]["format"], r["p"]["scratchpad"]) for r in rows} == cases
+    forced = spark.createDataFrame([("d",)], "t string").select(chat.parse_completion(F.col("t"), start=chat.opening("final", task="t")).alias("p")).first()["p"]
+    assert (forced["final"], forced["task"]) == ("d", "t")
+
+
+def test_chat_fit_and_masks(spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from lodestone.functions import chat
+
+    row = spark.createDataFrame([("abcdefgh", [("u1", "a1"), ("u2", "a2")])], "c string, h array<struct<user:string,assistant:string>>")
+    none = F.lit(None).cast("string")
+    fit = lambda n: row.select(chat.fit(none, F.col("h"), F.col("c"), n, "plain").alias("f")).first()["f"]
+    assert (fit(100)["text"], fit(100)["turns"]) == ("u1\na1\n\nu2\na2\n\nabcdefgh", 2)
+    assert (fit(15)["text"], fit(15)["turns"], fit(15)["cut"]) == ("u2\na2\n\nabcdefgh", 1, False)
+    assert (fit(5)["text"], fit(5)["cut"]) == (chat.CUT_NOTICE + "defgh", True)
+    words = {w: i for i, w in enumerate(["[UNK]", "a", "b", "c", "d", "[", ":", "]", "task", "final"])}
+    t = Tokenizer(models.WordLevel(words, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    spans = F.array(F.struct(F.lit(2).alias("start"), F.lit(5).alias("stop")))
+    got = spark.createDataFrame([("a b c d",)], "t string").select(chat.label_masks(F.col("t"), spans, t.to_str()).alias("m")).first()["m"]
+    assert (got["ids"], got["mask"]) == ([1, 2, 3, 4], [0.0, 1.0, 1.0, 0.0])
+    cut = spark.createDataFrame([("a b c d", [("a", "b")])], "c string, h array<struct<user:string,assistant:string>>")
+    got = cut.select(chat.fit_tokens(none, F.col("h"), F.col("c"), 3, t.to_str(), "plain").alias("f")).first()["f"]
+    assert (got["text"], got["n_tokens"], got["cut"]) == (chat.CUT_NOTICE + "b c d", 3, True)
+    spans = spark.createDataFrame([("[:task:]t x[:format:]f[:final:]d",)], "t string").select(chat.route_spans(F.col("t")).alias("s")).first()["s"]
+    assert [(s["name"], s["start"], s["stop"]) for s in spans] == [("task", 8, 11), ("format", 21, 22)]
+
+
+def test_formats(spark):
+    from lodestone.functions import formats as fm
+
+    got = spark.createDataFrame([(1234567, 2, 3)], "a int, b int, c int").select(fm.grouped_int(F.col("a")), fm.grouped_float(F.col("a") / 100), fm.percent(F.lit(None).cast("double")), fm.percent(F.lit(12.345)), fm.percent_of(F.col("b"), F.col("c")), fm.percent_of(F.col("b"), F.lit(0)), fm.metric(F.col("a"), F.col("a")), fm.iso_utc(F.lit(" 1704067200.123999 ")), fm.iso_utc(F.lit("no"))).first()
+    assert tuple(got) == ("1,234,567", "12,345.67", "n/a", "12.35%", "66.67%", "n/a", "1_234_567 (100.00%)", "2024-01-01T00:00:00.123+00:00", None)
+
+
+def test_threads(spark):
+    from lodestone.operators.threads import thread_log
+
+    e = [("t", 1, "append", "system", " "), ("t", 2, "replace", None, "r0"), ("t", 3, "append", "user", "u"), ("t", 4, "append", "assistant", "a"), ("t", 5, "append", "user", "v"), ("t", 6, "replace", None, "b"), (" z ", 1, "append", "system", " s ")]
+    rows = thread_log(spark.createDataFrame([(*x, "0") for x in e], "thread string, seq int, op string, role string, content string, at string")).collect()
+    assert sorted((r["thread"], r["place"], r["role"], r["content"]) for r in rows) == [("t", 1, "assistant", "r0"), ("t", 2, "user", "u"), ("t", 3, "assistant", "b"), ("t", 4, "user", "v"), ("z", 1, "system", "s")]
+
+
+def test_presets_and_manifests(spark, tmp_path):
+    import dataclasses
+
+    from lodestone.operators import presets
+
+    @dataclasses.dataclass(frozen=True)
+    class Preset:
+        uid: str
+        name: str
+        split: str = ""
+
+    some = [Preset("a", "Alpha"), Preset("b", "Beta")]
+    aliases = lambda p: (p.name, p.uid)
+    assert presets.find(some, " ALPHA, b", aliases) == some
+    with pytest.raises(ValueError):
+        presets.find(some, "a,x", aliases)
+    assert presets.by_split(some[0], {"train": "t", " test": "e"}) == [Preset("a-t", "Alpha-train", "train"), Preset("a-e", "Alpha-test", "test")]
+    for bad in ({}, {"x": ""}, {"x": "a", "y": "a"}, {"x": "a", " x": "b"}):
+        with pytest.raises(ValueError):
+            presets.by_split(some[0], bad)
+    assert presets.migrated({"version": 2, "configuration": {"k": 1}}) == {"version": 6, "configuration": {"k": 1}}
+    assert presets.migrated({"configuration": {"task": {"wrapper_class": "Other"}}}) == {"version": 6, "configuration": {"task": {"wrapper_class": "Other"}}}
+    spark.range(3).repartition(2).write.parquet(str(tmp_path / "default" / "train"))
+    files = presets.catalogue(spark, str(tmp_path))
+    assert len(presets.resolve(files, "train")) == 2
+    with pytest.raises(ValueError):
+        presets.resolve(files, "test")
