@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h60
-from ..session import settle
+from ..session import settle, spread
 
 NGRAM, NUM_HASH, BANDS, ROWS = 5, 128, 16, 8
 MIN_BUCKET, MAX_BUCKET = 2, 500
@@ -54,6 +54,7 @@ def minhash(base: np.ndarray, num_hash: int, block: int = 4096) -> np.ndarray:
 def signatures(records: DataFrame, text: str, num_hash: int = NUM_HASH, ngram: int = NGRAM, base: str = "h60") -> DataFrame:
     """``records`` with ``sig_vector``. base: ``h60`` (portable), or ``xxh3``
     (the XXH3-64 of each n-gram of the NFKC-normalised text)."""
+    records = spread(records)
     if base == "h60":
         hashed = records.withColumn("__words", words(F.col(text)))
         hashed = hashed.withColumn("__base", F.transform(F.array_distinct(ngrams(F.col("__words"), ngram)), lambda g: h60(g))).drop("__words")

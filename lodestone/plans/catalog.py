@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,3 +27,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     return lambda name: table(spark, sf_dir, name)
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, dealt to all cores: for queries that do much for
+    each row."""
+    return spread(table(spark, sf_dir, name).select(*columns))

@@ -178,10 +178,10 @@ def python_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader(spark, sf_dir)("part").select("p_partkey", vf.python_value(t, [30]).alias("score"))
 
 
-@query("vocabulary_audit", r"SELECT w AS token, n, regexp_full_match(w, '[0-9]+') AS digits, regexp_matches(w, '^https?://') AS url, regexp_full_match(w, '[^@\s]+@[^@\s]+\.[^@\s]+') AS email, regexp_full_match(w, '(0x)?[0-9a-fA-F]{8,}') AS hex, length(w) > 24 AS very_long FROM (SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\s+')) AS w FROM documents) WHERE w <> '' GROUP BY w) WHERE n >= 20")
+@query("vocabulary_audit", r"SELECT w AS token, n, regexp_full_match(w, '[0-9]+') AS digits, regexp_matches(w, '^https?://') AS url, regexp_full_match(w, '[^@\s]+@[^@\s]+\.[^@\s]+') AS email, regexp_full_match(w, '(0x)?[0-9a-fA-F]{8,}') AS hex, length(w) > 24 AS very_long FROM (SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\s+')) AS w FROM documents) WHERE w <> '' GROUP BY w)")
 def vocabulary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = reader(spark, sf_dir)("documents").select(F.explode(F.split("text", r"\s+")).alias("token")).where("token <> ''")
-    return tk.audit(w.groupBy("token").agg(F.count("*").alias("n")).where("n >= 20"))
+    return tk.audit(w.groupBy("token").agg(F.count("*").alias("n")))
 
 
 @query("vocabulary_audit_full")

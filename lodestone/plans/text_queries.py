@@ -9,7 +9,7 @@ from ..functions import chat
 from ..functions import formats as fm
 from ..functions import text as tx
 from ..operators import near_duplicates as nd
-from .catalog import query, reader
+from .catalog import dealt, query, reader
 
 
 @query("record_features", "SELECT doc_id, length(text)::INT AS rec_len, substr(text, 1, 100) AS rec_sni, lang AS rec_lan FROM documents")
@@ -19,7 +19,7 @@ def record_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("word_ngrams", r"SELECT doc_id, greatest(0, len(w) - 4)::INT AS n, CASE WHEN len(w) >= 5 THEN array_to_string(list_slice(w, 1, 5), ' ') END AS first FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents)")
 def word_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = reader(spark, sf_dir)("documents").select("doc_id", nd.words(F.col("text")).alias("w"))
+    g = dealt(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", nd.words(F.col("text")).alias("w"))
     g = g.select("doc_id", nd.ngrams(F.col("w")).alias("g"))
     return g.select("doc_id", F.size("g").alias("n"), F.get("g", F.lit(0)).alias("first"))
 
@@ -33,7 +33,7 @@ def strip_white_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("normalize_text", "SELECT doc_id, md5(text) AS h FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line ends and odd characters that were put in are taken out again."""
-    d = reader(spark, sf_dir)("documents")
+    d = dealt(spark, sf_dir, "documents", "doc_id", "text")
     odd = F.concat(F.lit("\u200b"), F.replace(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit(" "), F.lit("\u00a0")), F.lit("\u200e"))
     return d.select("doc_id", F.md5(tx.normalize_text(odd)).alias("h"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, views
+from ..session import spread
 from .catalog import query, reader
 
 WINDOW_SQL = """w AS (
@@ -34,7 +35,7 @@ def window_work_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("window_loss_masks", f"WITH {WINDOW_SQL} SELECT doc_id, start, (stop - start - greatest(1, new_from - start))::DOUBLE AS mask_sum, stop - start AS mask_size FROM win")
 def window_loss_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _windows(spark, sf_dir).withColumn("mask", views.loss_mask(F.col("w")))
+    rows = spread(_windows(spark, sf_dir)).withColumn("mask", views.loss_mask(F.col("w")))
     return rows.select("doc_id", "start", F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).alias("mask_sum"), F.size("mask").alias("mask_size"))
 
 

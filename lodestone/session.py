@@ -32,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, share: int = 4) -> DataFrame:
+    """``df`` dealt to all cores if it has fewer than a ``share``-th as many
+    partitions, as a small table in one row group has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * share <= cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
