@@ -1,27 +1,29 @@
 """Line dedup: an exact set-similarity self-join of all lines.
 
-A line's tokens are its distinct words (``shingle=1``), or its distinct
-shingles of five words (a shorter line is one shingle), which miss lines with
-a changed word. Lines with the same token set form a class; the classes are
-joined (the first filter is for shingles only; few lines share no word):
-
-* prefix filter: in any one order of all tokens, two sets with Jaccard 0.75
-  or more share k of the first n - ceil(0.75 n) + k tokens of either. With
-  tokens ordered by hash, and k about n / 16, this finds the classes that
-  share enough, and counts how many classes share a token;
-* among these, tokens are ordered by rarity: those of few classes first, and
-  the prefix filter is applied again in this order with k = 1;
+A line's tokens are its distinct words, held as 64-bit hashes. Lines with the
+same token set form a class, and the classes are joined. Tokens are ordered
+by rarity: words are counted in BUCKETS buckets of their hash, and a token's
+rank is the logarithm of its bucket's count. The table of ranks has a fixed
+size, so it goes to every task as one value, and a line is ordered where it
+is read; only its prefix is moved. The order decides the cost and never the
+result, which is exact in any one order of all tokens:
+
+* prefix filter: two sets with Jaccard 0.75 or more share one of the first
+  n - ceil(0.75 n) + 1 tokens of either;
 * length filter: 3 * larger <= 4 * smaller;
 * positional filter: the tokens from the shared one on must suffice;
 * bitmap filter: the sets differ in no more tokens than they may, by sketches
   of 128 bits;
 * the survivors' Jaccard is computed from the whole sets.
 
-A line is removed if an earlier line, in the order of (id, text hash, line
-number), has its token set or one that similar. To stay linear within large
-groups of alike lines, a line is first held against the first line and the
-line just before it in each list; only lines without a match so far are then
-joined with whole lists. This drops no removal: one match is enough.
+A line is removed if an earlier line, in the order of (id, text hash where
+rows share an id, line number), has its token set or one that similar. One
+match is enough, and this keeps the work linear within large groups of alike
+lines: in long lists (HOT) a line is first held only against the first line
+and the NEIGHBOURS lines before it, and only lines without a match after that
+are joined with these lists as a whole. Of each line's
+candidates the one with the nearest sketch is verified first, the others only
+if that fails. Nothing is dropped by either.
 
 DataFrame operations only. Defined results: a null text stays null and has
 no lines; lines without a word are never removed; rows equal in id and text
@@ -33,185 +35,199 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bound
 from ..session import discard, settle
-from .native import differing, join_on, parity, pieces, small
+from .native import differing, join_on, parity, small, within
 
-SHINGLE = 5
-FREQUENT = 50  # classes that share a token; from here on rarity counts
-FREQUENT_ROWS = 500_000  # bound for broadcasting the frequent tokens
+BUCKET_BITS = 20  # words are counted in 2 ** 20 buckets
+STEPS = 3  # ranks for each doubling of a count
+HOT = 512  # entries of a bucket of lists, beyond four times the mean, from which on its lists are long
+PART = 16_384  # entries for each part that a long list is cut into
+NEIGHBOURS = 2  # lines of a list before its own that a line is held against
 KEY_ROWS = 1_000_000  # bound for broadcasting keys of classes
-LATE_ROWS = 20_000  # bound for broadcasting sets' frequent tokens
+LINE_ROWS = 2_000_000  # bound for broadcasting places of lines
 
-_SPACE = r" \x09-\x0D"
-LINE = ["doc_id", "text_hash", "line_no"]
+LINE = ["doc_id", "copy", "line_no"]
+_OTHER_SPACE = "\t\x0b\x0c\r"  # but the line feed, between lines
+_HASH_BITS = 56
 
 
-def _shingles(line: Column, size: int = SHINGLE) -> Column:
-    """Hashes of the distinct shingles, sorted; a hash has 64 bits, and is
-    made of the hashes of the words."""
-    if size == 1:
-        return F.sort_array(F.array_distinct(F.transform(pieces(line, _SPACE), lambda w: F.xxhash64(w))))
+def _plain(text: Column) -> Column:
+    """Every ASCII white space but the line feed as a space."""
+    return F.when(text.rlike(f"[{_OTHER_SPACE}]"), F.translate(text, _OTHER_SPACE, " " * len(_OTHER_SPACE))).otherwise(text)
 
-    def some(h: Column) -> Column:
-        n = F.size(h)
-        many = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
-        return F.when(n >= size, many).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.sort_array(F.array_distinct(bound(F.transform(pieces(line, _SPACE), lambda w: F.xxhash64(w)), some)))
+def _numbered(documents: DataFrame, text: str, id_column: str) -> DataFrame:
+    """``documents`` with ``__copy``: a hash of the text where rows share an
+    id, else 0."""
+    several = documents.groupBy(F.col(id_column).alias("__id")).agg(F.count("*").alias("__rows")).where("__rows > 1")
+    several = settle(several, "several")
+    if several.isEmpty():
+        return documents.withColumn("__copy", F.lit(0).cast("bigint"))
+    on = F.col(f"a.`{id_column}`").eqNullSafe(F.col("b.__id"))
+    rows = documents.alias("a").join(small(several, KEY_ROWS).alias("b"), on, "left").select("a.*", "b.__rows")
+    return rows.withColumn("__copy", F.when(F.col("__rows").isNull(), F.lit(0)).otherwise(F.xxhash64(text)).cast("bigint")).drop("__rows")
 
 
-def _lines(documents: DataFrame, text: str, id_column: str, only: str | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """Lines with their tokens; ``only`` names a column of line numbers to
-    leave out all others."""
-    more = [F.col(only).alias("__only")] if only else []
-    doc = documents.where(F.col(text).isNotNull()).select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), *more, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    if only:
-        doc = doc.where(F.array_contains("__only", F.col("line_no")))
-    return doc.select(*LINE, _shingles(F.col("line"), shingle).alias("tokens")).where(F.size("tokens") > 0)
+def _hashes(line: Column) -> Column:
+    """Hashes of the distinct words of a line."""
+    words = F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
 
 
-def _spare(n: Column) -> Column:
-    """How many of n tokens a similar set may lack."""
-    return n - F.ceil(n * 3 / 4).cast("int")
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
 
 
-def _extra(n: Column) -> Column:
-    """Tokens by which the first prefix is longer than it has to be."""
-    return F.greatest(F.lit(1), F.floor(_spare(n) / 4).cast("int"))
+def _table(hashes: DataFrame, value, name: str) -> DataFrame:
+    """One row with an array: ``value`` of each bucket's count, in order."""
+    counts = hashes.groupBy(_bucket(F.col("h")).alias("bucket")).agg(F.count("*").alias("n"))
+    every = hashes.sparkSession.range(1 << BUCKET_BITS).join(counts, F.col("id") == F.col("bucket"), "left")
+    every = every.select("id", value(F.coalesce("n", F.lit(0))).alias("value"))
+    some = every.groupBy(F.shiftright("id", 10).alias("some")).agg(F.sort_array(F.collect_list(F.struct("id", "value"))).alias("of"))
+    some = some.select("some", F.transform("of", lambda x: x["value"]).alias("of"))
+    one = some.agg(F.sort_array(F.collect_list(F.struct("some", "of"))).alias("of"))
+    return settle(one.select(F.flatten(F.transform("of", lambda x: x["of"])).alias(name)), name)
 
 
-def _fits(a: str, b: str) -> Column:
-    """Length, positional and bitmap filters of two entries with n, pos, s1
-    and s2; positions count from 0."""
-    (n1, p1, a1, a2), (n2, p2, b1, b2) = ([F.col(f"{x}{c}") for c in ("n", "pos", "s1", "s2")] for x in (a, b))
-    rest = F.least(n1 - p1, n2 - p2)
-    return (3 * F.greatest(n1, n2) <= 4 * F.least(n1, n2)) & (7 * rest >= 3 * (n1 + n2)) & (7 * differing(a1, a2, b1, b2) <= n1 + n2)
-
+def _ranks(docs: DataFrame) -> DataFrame:
+    """One row: the ranks of all buckets of words."""
+    # A word next to a line feed counts with it; this is an order's matter only.
+    words = docs.select(F.explode(F.split("text", " ", -1)).alias("word")).where("word <> ''")
+    rank = lambda n: F.floor(STEPS * F.log2(F.greatest(n, F.lit(1)))).cast("tinyint")
+    return _table(words.select(F.xxhash64("word").alias("h")), rank, "ranks")
 
-def _ordered(whole: DataFrame, counts: DataFrame) -> DataFrame:
-    """``whole`` with ``tokens`` ordered by rarity.
 
-    Tokens of fewer than FREQUENT classes count as equally rare and stay in
-    the order of their hashes; so sets without others are in order already.
-    """
-    frequent = small(settle(counts.where(F.col("n_classes") >= FREQUENT).distinct(), "frequent"), FREQUENT_ROWS)
-    found = whole.select("key", F.explode("tokens").alias("token")).join(frequent, "token")
-    found = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n_classes", "token"))).alias("late"))
-    found = small(settle(found, "late"), LATE_ROWS)
-    out = whole.join(found, "key", "left").withColumn("late", F.transform("late", lambda x: x["token"]))
-    moved = F.concat(F.array_except("tokens", "late"), F.col("late"))
-    return out.withColumn("tokens", F.when(F.col("late").isNull(), F.col("tokens")).otherwise(moved)).drop("late")
+def _spare(n: Column) -> Column:
+    """How many of n tokens a similar set may lack."""
+    return n - F.ceil(n * 3 / 4).cast("int")
 
 
-def _prefix(extra: bool = False) -> Column:
+def _sets(docs: DataFrame) -> DataFrame:
+    """A row for each line with words: LINE, key (of the class), n, the
+    sketch s1, s2, and the prefix by rarity; a token holds its rank above
+    _HASH_BITS bits of the hash. docs: doc_id, copy, text."""
+    lines = docs.select("doc_id", "copy", F.split(_plain(F.col("text")), "\n", -1).alias("lines"))
+    lines = lines.select("doc_id", "copy", F.posexplode("lines").alias("line_no", "line")).where(F.trim("line") != "")
+    # The table of ranks stands in the expression that reads it, as a scalar
+    # subquery; no row carries it.
+    lines = lines.withColumn("ranks", _ranks(docs).scalar())
+    token = lambda h: F.shiftleft(F.get("ranks", _bucket(h)).cast("bigint"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+    lines = lines.select(*LINE, F.sort_array(F.transform(_hashes(F.col("line")), token)).alias("tokens"))
+    s1, s2 = parity(F.col("tokens"))
     n = F.size("tokens")
-    return F.slice("tokens", F.lit(1), _spare(n) + (_extra(n) if extra else 1))
+    return lines.select(*LINE, F.xxhash64("tokens").alias("key"), n.alias("n"), s1.alias("s1"), s2.alias("s2"), F.slice("tokens", F.lit(1), _spare(n) + 1).alias("prefix"))
+
 
+def _apart(a: str, b: str) -> Column:
+    return differing(*[F.col(f"{x}{c}") for x in (a, b) for c in ("s1", "s2")])
 
-def _all_sets(documents: DataFrame, text: str, id_column: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Lines, classes, and the classes' words by hash and by rarity. No class
-    is left out: nearly all lines share words, so a first prefix would drop none. How many
-    classes hold a word is counted over whole sets."""
-    sets = settle(_lines(documents, text, id_column, shingle=1).withColumn("key", F.xxhash64("tokens")), "words")
+
+def _fits(a: str, b: str) -> Column:
+    """Length, positional and bitmap filters of two entries with n, pos, s1
+    and s2; positions count from 0."""
+    (n1, p1), (n2, p2) = ([F.col(f"{x}{c}") for c in ("n", "pos")] for x in (a, b))
+    rest = F.least(n1 - p1, n2 - p2)
+    return (3 * F.greatest(n1, n2) <= 4 * F.least(n1, n2)) & (7 * rest >= 3 * (n1 + n2)) & (7 * _apart(a, b) <= n1 + n2)
+
+
+def _neighbours(postings: DataFrame) -> DataFrame:
+    """x, y, apart: each line with those just before it and the first one of
+    its lists, where they pass the filters."""
+    mine = [*LINE, "key", "n", "pos", "s1", "s2"]
+    entry = F.struct("key", "n", "pos", "s1", "s2")
+
+    def met(rows: DataFrame, keys: list) -> tuple[DataFrame, DataFrame]:
+        w = Window.partitionBy(*keys).orderBy(*LINE, "key")
+        head = F.first(entry).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        near = [F.lag(entry, k).over(w).alias(f"e{k}") for k in range(1, NEIGHBOURS + 1)]
+        found = rows.select("token", "parts", *mine, head.alias("e0"), *near)
+        early = [F.when(_fits("", f"e{k}."), F.struct(F.col(f"e{k}.key").alias("y"), _apart("", f"e{k}.").alias("apart"))) for k in range(NEIGHBOURS + 1)]
+        pairs = found.where("e1 is not null").select(F.col("key").alias("x"), F.explode(F.array(*early)).alias("e"))
+        return pairs.select("x", "e.*").where("x <> y"), found.where((F.col("e1").isNull()) & (F.col("parts") > 1)).select("token", "parts", *mine)
+
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    cut = postings.withColumn("parts", parts).withColumn("part", F.pmod("key", F.col("parts")))
+    pairs, heads = met(cut, ["token", "part"])
+    return pairs.unionByName(met(heads, ["token"])[0])
+
+
+def _words(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """key and the hashes of all words, of classes with their first LINE."""
+    some = within(classes, LINE_ROWS)
+    wanted = classes.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted"))
+    found = join_on(docs, F.broadcast(wanted) if some else wanted, ["doc_id", "copy"])
+    lines = found.select(F.split(_plain(F.col("text")), "\n", -1).alias("lines"), "wanted").select("lines", F.explode("wanted").alias("of"))
+    lines = lines.select("of.key", F.get("lines", F.col("of.line_no")).alias("line"))
+    return settle(lines.select("key", _hashes(F.col("line")).alias("words")).dropDuplicates(["key"]), "whole")
+
+
+def _similar(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The late lines of pairs whose Jaccard is 0.75 or more."""
+    a, b = (words.select(F.col("key").alias(c), F.col("words").alias(f"{c}_words")) for c in ("late", "early"))
+    both = F.size(F.array_intersect("late_words", "early_words"))
+    out = pairs.join(a, "late").join(b, "early").where(7 * both >= 3 * (F.size("late_words") + F.size("early_words")))
+    return settle(out.select(F.col("late").alias("key")).distinct(), "similar")
+
+
+def similar_lines(docs: DataFrame) -> DataFrame:
+    """The lines to remove, as LINE. docs: doc_id, copy, text."""
+    sets = settle(_sets(docs), "sets")
     lines = settle(sets.select(*LINE, "key"), "lines")
     # Sets of one class are equal, so any of them is taken.
-    whole = settle(sets.groupBy("key").agg(F.min(F.struct(*LINE)).alias("first"), F.first("tokens").alias("tokens")), "sets")
+    first = F.min(F.struct(*LINE, "n", "s1", "s2", "prefix"))
+    classes = settle(sets.groupBy("key").agg(first.alias("f"), F.count("*").alias("copies")).select("key", "copies", "f.*"), "classes")
     discard(sets)
-    counts = whole.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n_classes"))
-    frequent = small(settle(counts.where(F.col("n_classes") >= FREQUENT), "frequent"), FREQUENT_ROWS)
-    flat = whole.select("key", "first", F.explode("tokens").alias("token")).join(frequent, "token", "left")
-    ranked = F.sort_array(F.collect_list(F.struct(F.coalesce("n_classes", F.lit(0)).alias("n_classes"), "token")))
-    ordered = flat.groupBy("key").agg(F.min("first").alias("first"), F.transform(ranked, lambda x: x["token"]).alias("tokens"))
-    ordered = settle(ordered, "ordered")
-    discard(whole)
-    return lines, settle(ordered.select("key", "first"), "classes"), ordered, ordered
-
-
-def _shared_sets(documents: DataFrame, text: str, id_column: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Lines, classes, and of those that share enough of a first prefix the
-    shingles by hash and by rarity."""
-    sets = _lines(documents, text, id_column)
-    sketched = settle(sets.select(*LINE, F.xxhash64("tokens").alias("key"), F.size("tokens").alias("n"), _prefix(True).alias("prefix")), "sketches")
-    lines = settle(sketched.drop("prefix", "n"), "lines")
-    classes = settle(lines.groupBy("key").agg(F.min(F.struct(*LINE)).alias("first")), "classes")
-    own = F.struct(*[F.col(c) for c in LINE])
-    firsts = sketched.join(classes, "key").where(own.eqNullSafe(F.col("first")))
-    # What the smallest similar set shares at least.
-    need = _extra(F.ceil(F.col("n") * 3 / 4).cast("int"))
-    shared = firsts.select("key", need.alias("need"), F.explode("prefix").alias("token"))
-    shared = shared.withColumn("n_classes", F.count("*").over(Window.partitionBy("token"))).where("n_classes > 1")
-    shared = settle(shared, "shared")
-    discard(sketched)
-    wanted = shared.groupBy("key").agg(F.count("*").alias("k"), F.min("need").alias("need")).where("k >= need")
-    wanted = settle(classes.join(wanted, "key", "left_semi"), "wanted")
-    whole = settle(_whole_sets(documents, wanted, text, id_column), "sets")
-    ordered = _ordered(whole, shared.select("token", "n_classes"))
-    for done in (shared, wanted):
-        discard(done)
-    return lines, classes, whole, ordered
-
-
-def similar_lines(documents: DataFrame, text: str = "text", id_column: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """The lines to remove: doc_id, text_hash, line_no."""
-    if shingle not in (1, SHINGLE):
-        raise ValueError(f"tokens are words or shingles of {SHINGLE}")
-    lines, classes, whole, ordered = (_all_sets if shingle == 1 else _shared_sets)(documents, text, id_column)
-    own = F.struct(*[F.col(c) for c in LINE])
-    s1, s2 = parity(F.col("tokens"))
-    postings = ordered.select("key", "first", F.size("tokens").alias("n"), s1.alias("s1"), s2.alias("s2"), F.posexplode(_prefix()).alias("pos", "token"))
-    # Lists of two classes or more; each entry with the list's first entry
-    # and the one before it.
-    mine = ["key", "first", "n", "pos", "s1", "s2"]
-    entry = F.struct("first", *[c for c in mine if c != "first"])
-    w = Window.partitionBy("token").orderBy("first", "key")
-    head = F.first(entry).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    lists = postings.select("token", *mine, head.alias("head"), F.lag(entry).over(w).alias("last"), F.lead("key").over(w).alias("next"))
-    lists = settle(lists.where(F.col("last").isNotNull() | F.col("next").isNotNull()).drop("next"), "lists")
-    met = lists.where(F.col("last").isNotNull()).select(*mine, F.explode(F.array("head", "last")).alias("e"))
-    met = met.where((F.col("e.key") != F.col("key")) & _fits("", "e."))
-    met = settle(met.select(F.col("key").alias("late"), F.col("e.key").alias("early")).distinct(), "met")
-    matched = settle(_verified(met, whole).select(F.col("late").alias("key")).distinct(), "matched")
-    # Lines that no such neighbour matched, against all earlier ones.
-    a = lists.where(F.col("last").isNotNull()).join(small(matched, KEY_ROWS), "key", "left_anti").select("token", *mine).alias("a")
-    b = lists.select("token", *mine).alias("b")
-    rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.first") < F.col("a.first")) & _fits("a.", "b."))
-    rest = rest.select(F.col("a.key").alias("late"), F.col("b.key").alias("early")).distinct().join(met, ["late", "early"], "left_anti")
-    more = _verified(settle(rest, "rest"), whole).select(F.col("late").alias("key"))
-    gone = settle(matched.unionByName(more).distinct(), "gone")
-    for done in (whole, lists, met):
-        discard(done)
-    verdict = classes.join(small(gone, KEY_ROWS).withColumn("gone", F.lit(True)), "key", "left")
-    out = lines.select(*LINE, "key").join(verdict, "key")
-    return out.where(F.col("gone").isNotNull() | ~own.eqNullSafe(F.col("first"))).select(*LINE)
-
-
-def _whole_sets(documents: DataFrame, classes: DataFrame, text: str, id_column: str) -> DataFrame:
-    """The classes with their whole token sets, from their first lines."""
-    docs = documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    lines = classes.select("first.*").groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("wanted"))
-    docs = join_on(docs, lines, ["doc_id", "text_hash"])
-    sets = _lines(docs, "text", "doc_id", "wanted")
-    return sets.select(F.xxhash64("tokens").alias("key"), F.struct(*LINE).alias("first"), "tokens").dropDuplicates(["key"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose Jaccard is 0.75 or more."""
-    some = lambda c: sets.join(small(pairs.select(F.col(c).alias("key")).distinct(), KEY_ROWS), "key", "left_semi")
-    a = some("late").select(F.col("key").alias("late"), F.col("tokens").alias("t1"))
-    b = some("early").select(F.col("key").alias("early"), F.col("tokens").alias("t2"))
-    both = F.size(F.array_intersect("t1", "t2"))
-    return pairs.join(a, "late").join(b, "early").where(7 * both >= 3 * (F.size("t1") + F.size("t2"))).select("late", "early")
-
-
-def dedup_lines(documents: DataFrame, text: str = "text", id_column: str = "doc_id", counts: bool = False, shingle: int = SHINGLE) -> DataFrame:
+    own = F.struct(*LINE)
+    postings = classes.select(*LINE, "key", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "token"))
+    sizes = _table(postings.select(F.col("token").alias("h")), lambda n: n.cast("int"), "sizes")
+    mean = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    long = HOT + 4 * (mean >> BUCKET_BITS)
+    postings = postings.withColumn("size", F.get(sizes.scalar(), _bucket(F.col("token"))))
+    # Short lists as a whole, and neighbours in long ones.
+    short = postings.where(F.col("size") <= long).select("token", "key", "n", "pos", "s1", "s2")
+    a, b = short.alias("a"), short.alias("b")
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & _fits("a.", "b."))
+    pairs = pairs.select(F.col("a.key").alias("x"), F.col("b.key").alias("y"), _apart("a.", "b.").alias("apart"))
+    pairs = settle(pairs.distinct(), "pairs")
+    hot = settle(postings.where(F.col("size") > long), "hot")
+    met = settle(_neighbours(hot).distinct(), "met")
+    some = pairs.unionByName(met).select(F.explode(F.array("x", "y")).alias("key"))
+    some = settle(some.unionByName(hot.select("key")).distinct(), "some")
+    firsts = settle(classes.select("key", own.alias("line")).join(small(some, KEY_ROWS), "key", "left_semi"), "firsts")
+    words = _words(docs, firsts.select("key", "line.*"))
+    name = lambda k: firsts.select(F.col("key").alias(k), F.col("line").alias(f"{k}_line"))
+    known = pairs.unionByName(met).join(name("x"), "x").join(name("y"), "y")
+    later = F.col("x_line") > F.col("y_line")
+    known = settle(known.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("early"), "apart").distinct(), "known")
+    nearest = known.groupBy("late").agg(F.min_by("early", F.struct("apart", "early")).alias("early"))
+    gone = _similar(nearest, words)
+    left = lambda df, c: df.join(small(gone.withColumnRenamed("key", c), KEY_ROWS), c, "left_anti")
+    more = _similar(left(known, "late").select("late", "early"), words)
+    gone = settle(gone.unionByName(more), "gone")
+    # Lines still without a match, against all earlier ones of long lists.
+    a, b = left(hot, "key").alias("a"), hot.alias("b")
+    earlier = F.struct(*[F.col(f"b.{c}") for c in LINE]) < F.struct(*[F.col(f"a.{c}") for c in LINE])
+    rest = a.join(b, (F.col("a.token") == F.col("b.token")) & _fits("a.", "b.") & earlier)
+    rest = settle(rest.select(F.col("a.key").alias("late"), F.col("b.key").alias("early")).distinct(), "rest")
+    more = _similar(rest, words)
+    gone = gone.unionByName(more).distinct().withColumn("gone", F.lit(True))
+    verdict = classes.select("key", "copies", own.alias("first")).join(small(settle(gone, "gone"), KEY_ROWS), "key", "left")
+    verdict = settle(verdict.where((F.col("copies") > 1) | F.col("gone")), "verdict")
+    discard(classes)
+    out = lines.join(small(verdict, KEY_ROWS), "key").where(F.col("gone").isNotNull() | ~own.eqNullSafe(F.col("first")))
+    return settle(out.select(*LINE).distinct(), "removed")
+
+
+def dedup_lines(documents: DataFrame, text: str = "text", id_column: str = "doc_id", counts: bool = False) -> DataFrame:
     """``documents`` with the text less its removed lines; with ``counts``
     also n_lines and n_removed."""
-    gone = settle(similar_lines(documents, text, id_column, shingle), "removed").distinct()
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    a, b = documents.alias("a"), gone.alias("b")
-    on = F.col(f"a.`{id_column}`").eqNullSafe(F.col("b.__id")) & (F.xxhash64(F.col(f"a.`{text}`")) == F.col("b.__hash"))
-    out = a.join(b, on, "left").select("a.*", "b.__gone")
+    rows = _numbered(documents, text, id_column)
+    docs = rows.where(F.col(text).isNotNull()).select(F.col(id_column).alias("doc_id"), F.col("__copy").alias("copy"), F.col(text).alias("text"))
+    lines = similar_lines(docs)
+    gone = lines.groupBy("doc_id", "copy").agg(F.collect_list("line_no").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "copy": "__of"})
+    a, b = rows.alias("a"), (F.broadcast(gone) if within(lines, LINE_ROWS) else gone).alias("b")
+    on = F.col(f"a.`{id_column}`").eqNullSafe(F.col("b.__id")) & F.col("a.__copy").eqNullSafe(F.col("b.__of"))
+    out = a.join(b, on, "left").select("a.*", "b.__gone").drop("__copy")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     if counts:

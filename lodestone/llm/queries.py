@@ -7,48 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import chat, decontam, extract, jaccard, langid, linededup, packing, quality_gam, repetition, toxicity
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     out = quality_gam.score_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return packing.best_fit(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repetition.rate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = repetition.rate(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", *repetition.COUNTS, *repetition.EXTRA, "base_failed", "kept")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     out = decontam.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return out.drop("text_hash")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
-    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
-
-
-def op6_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op6_line_dedup``, with a line's words as its tokens."""
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, shingle=1)
+    out = linededup.dedup_lines(documents(spark, sf_dir, "doc_id", "text"), counts=True)
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = jaccard.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return out.withColumnRenamed("id", "doc_id")
 
 
@@ -57,12 +55,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    out = langid.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     out = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return out.select("doc_id", "held_out", "score", "predicted")
 
@@ -75,7 +73,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_decontamination": op5_decontamination,
         "op6_line_dedup": op6_line_dedup,
-        "op6_line_dedup_words": op6_line_dedup_words,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_language_id": op9_language_id,
@@ -114,8 +111,7 @@ WITH line AS (
   SELECT doc_id, i - 1 AS no, l[i] AS line, list_filter(string_split_regex(l[i], '[ \x09-\x0D]+'), lambda x: x <> '') AS w
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))
 ), sets AS (
-  SELECT doc_id, no, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) ELSE [array_to_string(w, ' ')] END)) AS s
-  FROM line WHERE len(w) > 0
+  SELECT doc_id, no, list_sort(list_distinct(w)) AS s FROM line WHERE len(w) > 0
 ), cls AS (
   SELECT s, min((doc_id, no)) AS f, row_number() OVER () AS c FROM sets GROUP BY s
 ), tok AS (SELECT c, f, len(s) AS n, unnest(s) AS t FROM cls),
@@ -135,10 +131,6 @@ FROM documents LEFT JOIN per USING (doc_id)
 """
 
 
-_SHINGLES_SQL = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) ELSE [array_to_string(w, ' ')] END"
-OP6_WORDS_SQL = OP6_SQL.replace(_SHINGLES_SQL, "w")
-
-
 OP7_SQL = r"""
 WITH RECURSIVE doc AS (
   SELECT doc_id, coalesce(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> ''), []) AS w FROM documents
@@ -175,4 +167,4 @@ FROM conversations WHERE role NOT IN ('user', 'assistant')
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op6_line_dedup_words": OP6_WORDS_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_chat_formatting": OP8_SQL}

@@ -1,6 +1,7 @@
 """Every query of the subpackage: against its SQL, or that it runs whole."""
 
 import pytest
+from helpers import same_rows
 
 from lodestone.llm import queries as llm
 
@@ -10,10 +11,7 @@ QUERIES, ORACLES = llm.queries(), llm.oracle_sql()
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, duck, name):
-    a, b = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).df()
-    assert sorted(a.columns) == sorted(b.columns)
-    plain = lambda df: sorted(tuple("NULL" if v is None or v != v else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
-    assert plain(a) == plain(b)
+    same_rows(QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).df())
 
 
 CONTRACT = {

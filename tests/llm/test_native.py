@@ -81,9 +81,7 @@ def brute_lines(docs):
     sets = []
     for i, t in sorted(docs, key=lambda x: x[0]):
         for no, line in enumerate(t.split("\n") if t is not None else []):
-            w = re.findall(r"[^\x20\x09-\x0D]+", line)
-            s = frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None
-            sets.append((i, no, s))
+            sets.append((i, no, frozenset(re.findall(r"[^\x20\x09-\x0D]+", line))))
     gone = set()
     for k, (i, no, s) in enumerate(sets):
         if s and any(o and 7 * len(s & o) >= 3 * (len(s) + len(o)) for _, _, o in sets[:k]):
@@ -111,30 +109,13 @@ def test_lines_equal_brute_force(spark):
     assert {r["doc_id"]: r["n_lines"] for r in rows}[70] == 0
 
 
-def test_lines_frequent_tokens(spark, monkeypatch):
-    """The order by rarity, with many sets that share a passage."""
-    monkeypatch.setattr(linededup, "FREQUENT", 3)
-    shared = " ".join(f"s{i}" for i in range(20))
-    docs = [(i, f"{shared} " + " ".join(f"d{i}_{k}" for k in range(i % 9 + 1))) for i in range(40)]
-    d = spark.createDataFrame([(i, t, "", "") for i, t in docs], DOC)
-    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(d).collect()} == brute_lines(docs)
-
-
-def brute_word_lines(docs):
-    sets, gone = [], set()
-    for i, t in sorted(docs):
-        for no, line in enumerate(t.split("\n")):
-            s = frozenset(re.findall(r"[^\x20\x09-\x0D]+", line))
-            if s and any(o and 7 * len(s & o) >= 3 * (len(s) + len(o)) for o in sets):
-                gone.add((i, no))
-            sets.append(s)
-    return {i: "\n".join(x for no, x in enumerate(t.split("\n")) if (i, no) not in gone) for i, t in docs}
-
-
-@pytest.mark.parametrize("frequent", [50, 3])
-def test_lines_by_words_equal_brute_force(spark, monkeypatch, frequent):
-    """One changed word in a short line, which no shingle survives."""
-    monkeypatch.setattr(linededup, "FREQUENT", frequent)
+@pytest.mark.parametrize("hot, part, neighbours", [(512, 100_000, 2), (8, 4, 1), (1, 1, 1)])
+def test_lines_in_any_order(spark, monkeypatch, hot, part, neighbours):
+    """Lists of frequent words, cut ones and few neighbours lose nothing; one
+    changed word in a short line, and many lines that share a passage."""
+    monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(linededup, "PART", part)
+    monkeypatch.setattr(linededup, "NEIGHBOURS", neighbours)
     rng = random.Random(4)
     base = [[f"v{rng.randrange(200)}" for _ in range(rng.randrange(1, 25))] for _ in range(30)]
 
@@ -142,14 +123,15 @@ def test_lines_by_words_equal_brute_force(spark, monkeypatch, frequent):
         w = list(rng.choice(base))
         if rng.random() < 0.7:
             w[rng.randrange(len(w))] = f"n{rng.randrange(1000)}"
-        return " ".join(w)
+        return rng.choice([" ", "\t ", "\x0b"]).join(w)
 
+    shared = " ".join(f"s{i}" for i in range(20))
     docs = [(i, "\n".join(line() for _ in range(rng.randrange(0, 6)))) for i in range(60)]
     docs += [(70, "Tolyoued with by of nteres atre are."), (71, "Anat with by of nteres atre are."), (72, "\n \n")]
+    docs += [(100 + i, f"{shared} " + " ".join(f"d{i}_{k}" for k in range(i % 9 + 1))) for i in range(40)]
     d = spark.createDataFrame([(i, t, "", "") for i, t in docs], DOC)
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(d, shingle=1).collect()}
-    assert got == brute_word_lines(docs) and got[71] == ""
-    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(d).collect()}[71] != ""
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(d).collect()}
+    assert got == brute_lines(docs) and got[71] == ""
 
 
 def test_lines_repeated_rows_and_empty_table(spark):
