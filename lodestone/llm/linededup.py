@@ -13,7 +13,7 @@ result, which is exact in any one order of all tokens:
 * length filter: 3 * larger <= 4 * smaller;
 * positional filter: the tokens from the shared one on must suffice;
 * bitmap filter: the sets differ in no more tokens than they may, by sketches
-  of 128 bits;
+  of 64 or 128 bits;
 * the survivors' Jaccard is computed from the whole sets.
 
 A line is removed if an earlier line, in the order of (id, text hash where
@@ -35,13 +35,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import bound
 from ..session import discard, settle
-from .native import differing, join_on, parity, small, within
+from .native import join_on, small, within
 
 BUCKET_BITS = 20  # words are counted in 2 ** 20 buckets
 STEPS = 3  # ranks for each doubling of a count
 HOT = 512  # entries of a bucket of lists, beyond four times the mean, from which on its lists are long
 PART = 16_384  # entries for each part that a long list is cut into
+WIDE = 64  # tokens from which on a sketch has 128 bits, not 64
 NEIGHBOURS = 2  # lines of a list before its own that a line is held against
 KEY_ROWS = 1_000_000  # bound for broadcasting keys of classes
 LINE_ROWS = 2_000_000  # bound for broadcasting places of lines
@@ -113,13 +115,26 @@ def _sets(docs: DataFrame) -> DataFrame:
     lines = lines.withColumn("ranks", _ranks(docs).scalar())
     token = lambda h: F.shiftleft(F.get("ranks", _bucket(h)).cast("bigint"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
     lines = lines.select(*LINE, F.sort_array(F.transform(_hashes(F.col("line")), token)).alias("tokens"))
-    s1, s2 = parity(F.col("tokens"))
+    s1, s2 = _sketch(F.col("tokens"))
     n = F.size("tokens")
     return lines.select(*LINE, F.xxhash64("tokens").alias("key"), n.alias("n"), s1.alias("s1"), s2.alias("s2"), F.slice("tokens", F.lit(1), _spare(n) + 1).alias("prefix"))
 
 
+def _sketch(tokens: Column) -> tuple[Column, Column]:
+    """64 bits of a set: each token's hash flips one. And of a set of more
+    than WIDE tokens the part of them that half of its tokens make, which
+    makes 128 bits. Sets differ in as many tokens at least as in bits."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int")))
+    half = F.aggregate(F.filter(tokens, lambda t: t.bitwiseAND(F.lit(64)) == 64), none, flip)
+    return F.aggregate(tokens, none, flip), F.when(F.size(tokens) > WIDE, half).otherwise(none)
+
+
 def _apart(a: str, b: str) -> Column:
-    return differing(*[F.col(f"{x}{c}") for x in (a, b) for c in ("s1", "s2")])
+    (n1, a1, a2), (n2, b1, b2) = ([F.col(f"{x}{c}") for c in ("n", "s1", "s2")] for x in (a, b))
+    whole, half = a1.bitwiseXOR(b1), a2.bitwiseXOR(b2)
+    wide = F.bit_count(whole.bitwiseXOR(half)) + F.bit_count(half)
+    return F.when((n1 > WIDE) & (n2 > WIDE), wide).otherwise(F.bit_count(whole))
 
 
 def _fits(a: str, b: str) -> Column:
@@ -156,9 +171,9 @@ def _words(docs: DataFrame, classes: DataFrame) -> DataFrame:
     some = within(classes, LINE_ROWS)
     wanted = classes.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted"))
     found = join_on(docs, F.broadcast(wanted) if some else wanted, ["doc_id", "copy"])
-    lines = found.select(F.split(_plain(F.col("text")), "\n", -1).alias("lines"), "wanted").select("lines", F.explode("wanted").alias("of"))
-    lines = lines.select("of.key", F.get("lines", F.col("of.line_no")).alias("line"))
-    return settle(lines.select("key", _hashes(F.col("line")).alias("words")).dropDuplicates(["key"]), "whole")
+    pick = lambda lines: F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), F.get(lines, w["line_no"]).alias("line")))
+    lines = found.select(F.explode(bound(F.split(_plain(F.col("text")), "\n", -1), pick)).alias("of"))
+    return settle(lines.select("of.key", _hashes(F.col("of.line")).alias("words")).dropDuplicates(["key"]), "whole")
 
 
 def _similar(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -229,7 +244,8 @@ def dedup_lines(documents: DataFrame, text: str = "text", id_column: str = "doc_
     on = F.col(f"a.`{id_column}`").eqNullSafe(F.col("b.__id")) & F.col("a.__copy").eqNullSafe(F.col("b.__of"))
     out = a.join(b, on, "left").select("a.*", "b.__gone").drop("__copy")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    places = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "__gone")
+    kept = bound(lines, lambda x: F.array_join(F.transform(places(x), lambda i: F.get(x, i)), "\n"))
     if counts:
         n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
         out = out.withColumns({"n_lines": n, "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")})

@@ -30,21 +30,6 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return out.select("a.*", *[F.col(f"b.`{c}`") for c in right.columns if c not in keys])
 
 
-def parity(tokens: Column) -> tuple[Column, Column]:
-    """128 bits of a set: each token's hash flips one of them.
-
-    Two sets differ in as many tokens at least as their sketches do in bits.
-    """
-    one, low = F.lit(1).cast("bigint"), lambda t: t.bitwiseAND(F.lit(63)).cast("int")
-    bit = lambda t: F.call_function("shiftleft", one, low(t))
-    half = lambda k: F.aggregate(tokens, F.lit(0).cast("bigint"), lambda a, t: F.when(t.bitwiseAND(F.lit(64)) == k, a.bitwiseXOR(bit(t))).otherwise(a))
-    return half(0), half(64)
-
-
-def differing(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
-    return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))
-
-
 def within(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than needed."""
     return df.limit(rows + 1).count() <= rows

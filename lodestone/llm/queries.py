@@ -116,7 +116,7 @@ WITH line AS (
   SELECT s, min((doc_id, no)) AS f, row_number() OVER () AS c FROM sets GROUP BY s
 ), tok AS (SELECT c, f, len(s) AS n, unnest(s) AS t FROM cls),
 pair AS (
-  SELECT b.c FROM tok a JOIN tok b ON a.t = b.t AND a.f < b.f
+  SELECT b.c FROM tok a JOIN tok b ON a.t = b.t AND a.f < b.f AND 3 * greatest(a.n, b.n) <= 4 * least(a.n, b.n)
   GROUP BY a.c, b.c, a.n, b.n HAVING 7 * count(*) >= 3 * (a.n + b.n)
 ), gone AS (SELECT DISTINCT c FROM pair),
 bad AS (

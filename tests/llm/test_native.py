@@ -13,6 +13,12 @@ from lodestone.llm import chat, decontam, linededup
 DOC = "doc_id bigint, text string, key string, first string"
 
 
+@pytest.fixture(autouse=True)
+def small_tables(monkeypatch):
+    """Few buckets, as for few words; any number gives the same lines."""
+    monkeypatch.setattr(linededup, "BUCKET_BITS", 12)
+
+
 def op5_words(t):
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if w]
 
@@ -134,6 +140,15 @@ def test_lines_in_any_order(spark, monkeypatch, hot, part, neighbours):
     assert got == brute_lines(docs) and got[71] == ""
 
 
+def test_lines_of_a_long_document(spark):
+    """Many lines in one text, half of them removed; none takes the others'
+    time."""
+    lines = [f"a{i // 2} b{i // 2} c{i // 2}" for i in range(60_000)]
+    d = spark.createDataFrame([(1, "\n".join(lines), "", ""), (2, "\n".join(lines[:3]), "", "")], DOC)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(d).collect()}
+    assert got[1] == "\n".join(lines[::2]) and got[2] == ""
+
+
 def test_lines_repeated_rows_and_empty_table(spark):
     d = spark.createDataFrame([(1, "x y z\nx y z", "", ""), (1, "x y z\nx y z", "", "")], DOC)
     assert [r["text"] for r in linededup.dedup_lines(d).collect()] == ["x y z", "x y z"]
