@@ -22,7 +22,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts hold about ``max_bytes`` together."""
     n = batch.num_rows
     if n == 0:

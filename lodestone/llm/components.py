@@ -26,6 +26,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = settle(e, "edges")
+    if e.isEmpty():
+        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     seen = _digest(e)
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -8,16 +8,19 @@ components, so a pair within a component that is known needs no answer.
 * Index lists: by the prefix filter two linked sets share k tokens among the
   first n - ceil(0.75 n) + k of each, in any one order of all tokens. A first
   pass in the order of hashes, with k about n / 16, finds the sets that share
-  enough and counts how often tokens are shared; a second one with k = 1
-  orders the tokens of these sets by rarity.
+  enough. Among these, every token is counted; a second pass with k = 1 takes
+  the sets of which 75 % of the tokens are in two sets or more, and orders
+  their tokens by these counts. A set that only shares a passage has nothing
+  but tokens of its own in its prefix, and so is in no list.
 * Index-level skipping: a list is cut into blocks of nearby positions (and
   sizes); two blocks whose positions leave too few tokens, or whose sizes are
   too far apart, are skipped as a whole.
-* Answer-level skipping: each set is first held against one highly similar
-  set, its leader, the one with which it shares most lists. The overlap of
-  two leaders, together with how far each set is from its leader, bounds the
-  overlap of the sets: most answers follow from the leaders' and only the
-  undecided ones are computed.
+* Answer-level skipping: each set is first held against the neighbour it met
+  most often, out of the first entry of its lists and the NEIGHBOURS entries
+  before it; then the nearest sets of different components are tried, by
+  sketches. The one it shares most tokens with is its leader. The overlap of two leaders, together with how far
+  each set is from its leader, bounds the overlap of the sets: most answers
+  follow from the leaders' and only the undecided ones are computed.
 
 Nothing is capped: every pair that passes the filters is decided.
 
@@ -42,10 +45,14 @@ from .components import components
 from .native import small
 
 SHINGLE = 5
-FREQUENT = 50  # classes that share a token; from here on rarity counts
-FREQUENT_ROWS = 500_000  # bound for broadcasting the frequent tokens
 IDS = 1_000_000  # bound for broadcasting ids
-LATE_ROWS = 20_000  # bound for broadcasting sets' frequent tokens
+NEIGHBOURS = 2  # entries of a list before its own that a set is held against
+BUCKETS = 65_536  # of tokens, counted to find those of very many rows
+HOT = 2_000  # rows of a bucket, beyond four times the mean, from which on it holds such a token
+SALTS = 1_024  # groups that the rows of such a token are dealt to
+PART = 4_096  # entries of a list that one group holds
+TRIED = 2  # nearest pairs of each component that a list proposes at first
+ROUNDS = 2  # of such proposals
 BLOCK = 512  # entries of a block of an index list
 SKETCH = 8  # words of 64 bits
 SKETCH_ROWS = 500_000  # bound for broadcasting sketches
@@ -130,7 +137,8 @@ def parities(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def whole_sets(documents: DataFrame, text: str, id_column: str) -> DataFrame:
-    """id, tokens sorted by hash, and sketch of documents with words."""
+    """id, a hash of the set, its tokens sorted by hash, and its sketch, of
+    documents with words."""
     rows = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
 
@@ -139,22 +147,71 @@ def whole_sets(documents: DataFrame, text: str, id_column: str) -> DataFrame:
             for part in at.chunks(batch, "text"):
                 value, off = shingles(part.column("text"))
                 sketch = pa.array([r.tobytes() for r in parities(value, off)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(value)), sketch], names=["id", "tokens", "sketch"])
+                own = pa.array(_sums(at.mix(value.view(np.uint64)), off))
+                yield pa.RecordBatch.from_arrays([part.column("id"), own, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(value)), sketch], names=["id", "own", "tokens", "sketch"])
 
-    return rows.mapInArrow(run, f"id {kind}, tokens array<bigint>, sketch binary").where(F.size("tokens") > 0)
+    return rows.mapInArrow(run, f"id {kind}, own bigint, tokens array<bigint>, sketch binary").where(F.size("tokens") > 0)
 
 
-def by_rarity(sets: DataFrame, counts: DataFrame) -> DataFrame:
-    """``sets`` with ``tokens`` rarest first; tokens of fewer than FREQUENT
-    classes count as equally rare and stay in the order of their hashes."""
-    frequent = small(settle(counts.where(F.col("n_classes") >= FREQUENT).distinct(), "frequent"), FREQUENT_ROWS)
-    found = sets.select("id", F.explode("tokens").alias("token")).join(frequent, "token").distinct()
-    found = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n_classes", "token"))).alias("late"))
-    found = small(settle(found, "late"), LATE_ROWS)
-    out = sets.join(found, "id", "left").withColumn("late", F.transform("late", lambda x: x["token"]))
-    kept = F.array_except("tokens", "late")
-    moved = F.concat(kept, F.filter("late", lambda t: F.array_contains("tokens", t)))
-    return out.withColumn("tokens", F.when(F.col("late").isNull(), F.col("tokens")).otherwise(moved)).drop("late")
+def counted(flat: DataFrame) -> DataFrame:
+    """The rows of ``flat`` whose token others have too, with their number.
+
+    Tokens are counted in a window. Those of very many rows, which stand out
+    among the counts of BUCKETS buckets, are counted apart, by sums on the
+    map side; the window deals their rows out by id, so that no task gathers
+    such a token.
+    """
+    bucket = F.pmod("token", F.lit(BUCKETS)).alias("bucket")
+    rows = settle(flat.groupBy(bucket).agg(F.count("*").alias("rows")), "buckets")
+    mean = (rows.agg(F.sum("rows")).first()[0] or 0) // BUCKETS
+    many = [r[0] for r in rows.where(F.col("rows") > HOT + 4 * mean).select("bucket").collect()]  # under a quarter of BUCKETS
+    salt = F.lit(0)
+    if many:
+        hot = flat.where(F.pmod("token", F.lit(BUCKETS)).isin(many)).groupBy("token").agg(F.count("*").alias("hot")).where(F.col("hot") > HOT // 2 + 2 * mean)  # half as many
+        flat = flat.join(F.broadcast(settle(hot, "hot")), "token", "left")
+        salt = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    else:
+        flat = flat.withColumn("hot", F.lit(None).cast("bigint"))
+    flat = flat.withColumn("salt", salt.cast("int"))
+    flat = flat.withColumn("sets", F.coalesce("hot", F.count("*").over(Window.partitionBy("token", "salt"))))
+    return flat.where("sets > 1").drop("hot", "salt")
+
+
+def rare_prefixes(sets: DataFrame) -> DataFrame:
+    """token, sets, id, n, pos: the prefixes of ``sets`` in the order of
+    rarity, less tokens of one set only. These come first in that order, so a
+    set of which over a quarter of the tokens are its own has no entry."""
+    flat = counted(sets.select("id", "own", F.size("tokens").alias("n"), F.explode("tokens").alias("token")))
+    kept = flat.groupBy("id", "own", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("some"))
+    k, least = F.size("some"), F.floor((3 * F.col("n") + 3) / 4).cast("int")
+    kept = kept.where(k >= least).withColumn("alone", F.col("n") - k)
+    kept = kept.select("id", "n", "alone", F.posexplode(F.slice("some", F.lit(1), k - least + 1)).alias("place", "e"))
+    return kept.select("e.token", "e.sets", "id", "n", (F.col("alone") + F.col("place")).alias("pos"))
+
+
+def neighbours(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists of two entries or more, and pairs x, y of each entry with those
+    just before it and the first one of its list, with the times they met.
+
+    A list is cut into parts of about PART entries; the first ones of the
+    parts are held against each other in the same way.
+    """
+    entry = F.struct("n", "id", "pos")
+    part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("sets") / PART)))
+
+    def lists(rows: DataFrame, keys: list) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("id", "n", "pos")
+        head = F.first(entry).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        before = [F.lag(entry, k).over(w) for k in range(1, NEIGHBOURS + 1)]
+        return rows.select("*", F.array(head, *before).alias("before"), F.lead("id").over(w).alias("next"))
+
+    some = lists(postings.withColumn("part", part), ["token", "part"])
+    first = F.get("before", F.lit(1)).isNull()
+    some = settle(some.where(~first | F.col("next").isNotNull() | (F.col("sets") > PART)).drop("next"), "lists")
+    heads = lists(some.where(first & (F.col("sets") > PART)).drop("before"), ["token"]).drop("next")
+    met = some.unionByName(heads).select("id", "n", "pos", F.explode(F.array_distinct("before")).alias("e"))
+    met = met.where((F.col("e.id") != F.col("id")) & fits(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos")))
+    return some.select("token", "id", "n", "pos"), met.groupBy(F.col("id").alias("x"), F.col("e.id").alias("y")).agg(F.count("*").alias("times"))
 
 
 def fits(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
@@ -209,25 +266,50 @@ def block_pairs(n: np.ndarray, p: np.ndarray, group: np.ndarray, block: int = BL
                 yield x, y
 
 
-def across(lists: DataFrame) -> DataFrame:
+def nearest(x: np.ndarray, y: np.ndarray, apart: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs are among the k least ``apart`` of either one's group."""
+    keep = np.zeros(len(x), bool)
+    for side in (x, y):
+        order = np.lexsort((apart, group[side]))
+        g = group[side][order]
+        new = np.ones(len(g), bool)
+        new[1:] = g[1:] != g[:-1]
+        place = np.arange(len(g)) - np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
+        keep[order[place < k]] = True
+    return keep
+
+
+def across(lists: DataFrame, tried: int = 0) -> DataFrame:
     """x, y: pairs of a list that pass the filters and lie in different
-    components. ``lists``: token, id, n, pos, component, sketch."""
+    components. ``lists``: token, entries, id, n, pos, component, sketch.
+    With ``tried``, only so many of each component, by the nearest sketches.
+
+    A list of over PART entries is cut into parts, and a group holds two of
+    them; so no group is larger than 2 * PART entries or so.
+    """
     kind = dict(lists.dtypes)["id"]
-    dealt = lists.select("token", "id", "n", "pos", F.xxhash64("component").alias("component"), "sketch").repartition("token").sortWithinPartitions("token", "pos", "n", "id")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("entries") / PART)).cast("int")
+    dealt = lists.withColumns({"component": F.xxhash64("component"), "part": F.pmod(F.xxhash64("id"), parts).cast("int")})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumn("cell", F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")))
+    dealt = dealt.select("cell", "id", "n", "pos", "component", "sketch").repartition("cell").sortWithinPartitions("cell", "pos", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            token, ids = t["token"].to_numpy(), t["id"].combine_chunks()
+            cell, ids = t["cell"].to_numpy(), t["id"].combine_chunks()
             n, p, g = (t[c].to_numpy().astype(np.int64) for c in ("n", "pos", "component"))
             raw = b"".join(t["sketch"].to_pylist())
             bits = np.frombuffer(raw, dtype=np.uint64).reshape(len(n), SKETCH)
-            cut = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
+            cut = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
             many = np.diff(cut) > 1
             xs, ys, size = [], [], 0
             for a, b in zip(cut[:-1][many], cut[1:][many]):
-                for x, y in block_pairs(n[a:b], p[a:b], g[a:b], BLOCK, bits[a:b]):
+                found = block_pairs(n[a:b], p[a:b], g[a:b], BLOCK, bits[a:b])
+                if tried:
+                    found = some(found, n[a:b], g[a:b], bits[a:b])
+                for x, y in found:
                     xs.append(x + a)
                     ys.append(y + a)
                     size += len(x)
@@ -237,6 +319,14 @@ def across(lists: DataFrame) -> DataFrame:
             if xs:
                 yield out(ids, xs, ys)
 
+        def some(found, n, g, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for x, y in found:
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) / (n[x] + n[y])
+                kept = tuple(np.concatenate(v) for v in zip(kept, (x, y, apart)))
+                kept = tuple(v[nearest(*kept, g, tried)] for v in kept)
+            yield kept[:2]
+
         def out(ids, xs, ys) -> pa.RecordBatch:
             pair = at.distinct(np.concatenate(xs) * len(ids) + np.concatenate(ys))
             return pa.RecordBatch.from_arrays([ids.take(pa.array(pair // len(ids))), ids.take(pa.array(pair % len(ids)))], names=["x", "y"])
@@ -244,8 +334,8 @@ def across(lists: DataFrame) -> DataFrame:
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            token = held["token"].to_numpy()
-            whole = int(np.searchsorted(token, token[-1])) if len(token) else 0  # the last list may go on
+            cell = held["cell"].to_numpy()
+            whole = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last list may go on
             if whole:
                 yield from pairs(held.slice(0, whole))
                 held = held.slice(whole)
@@ -256,6 +346,15 @@ def across(lists: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+def mixed(lists: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
+    """Lists with sets of different components, whose answers are not known
+    yet. Ids that rows share have several sketches; all of them take part."""
+    marked = settle(lists.join(component, "id"), "marked")
+    some = marked.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("entries")).where("c1 <> c2").select("token", "entries")
+    sketch = sets.select("id", F.size("tokens").alias("n"), "sketch")
+    return marked.join(some, "token").join(small(sketch, SKETCH_ROWS), ["id", "n"])
+
+
 def derived(pairs: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones of ``pairs``, by way of the leaders' overlaps.
 
@@ -275,6 +374,15 @@ def derived(pairs: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
     return p.where("sure").select("x", "y").unionByName(exact.select("x", "y"))
 
 
+def merged(first: DataFrame, links: DataFrame) -> DataFrame:
+    """id, component: those of ``first``, joined by links x, y. One link
+    between two is enough, so these are contracted to nodes."""
+    side = lambda k: first.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
+    pairs = links.join(side("x"), "x").join(side("y"), "y").select(F.col("cx").alias("a"), F.col("cy").alias("b")).where("a <> b").distinct()
+    tops = components(settle(pairs, "links")).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    return settle(first.join(tops, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "components")
+
+
 def near_duplicates(documents: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """id, n_shingles, component_id: a row for each row of ``documents``."""
     sketched = settle(sketches(documents, text, id_column), "sketches")
@@ -282,57 +390,36 @@ def near_duplicates(documents: DataFrame, text: str = "text", id_column: str = "
     some = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = settle(some.groupBy("d1", "d2", "n").agg(F.min("id").alias("first")), "classes")
     firsts = sketched.where((F.col("n") > 0) & F.col("id").isNotNull()).join(classes, ["d1", "d2", "n"]).where("id = first").dropDuplicates(["id", "d1", "d2", "n"])
-    shared = firsts.select("id", "need", F.explode("prefix").alias("token"))
-    shared = shared.withColumn("n_classes", F.count("*").over(Window.partitionBy("token"))).where("n_classes > 1")
-    shared = settle(shared, "shared")
+    shared = settle(counted(firsts.select("id", "need", F.explode("prefix").alias("token"))).select("id", "need"), "shared")
     discard(sketched)
     wanted = settle(shared.groupBy("id").agg(F.count("*").alias("k"), F.min("need").alias("need")).where("k >= need").select("id"), "wanted")
-    docs = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(small(wanted, IDS), "id", "left_semi").distinct()
-    hashed = settle(whole_sets(docs, "text", "id"), "sets")
-    sets = settle(by_rarity(hashed, shared.select("token", "n_classes")), "sets")
-    discard(hashed)
+    docs = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(small(wanted, IDS), "id", "left_semi")
     discard(shared)
-    n = F.size("tokens")
-    size = n - F.floor((3 * n + 3) / 4).cast("int") + 1
-    postings = sets.select("id", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), size)).alias("pos", "token"))
-    entry = F.struct("n", "id", "pos")
-    w = Window.partitionBy("token").orderBy("n", "id")
-    head = F.first(entry).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    lists = postings.select("token", "id", "n", "pos", head.alias("head"), F.lag(entry).over(w).alias("last"), F.lead("id").over(w).alias("next"))
-    lists = settle(lists.where(F.col("last").isNotNull() | F.col("next").isNotNull()), "lists")
-    # A leader for each set: the neighbour in its lists met most often.
-    met = lists.where(F.col("last").isNotNull()).select("id", "n", "pos", F.explode(F.array_distinct(F.array("head", "last"))).alias("e"))
-    met = met.where((F.col("e.id") != F.col("id")) & fits(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos")))
-    met = met.groupBy(F.col("id").alias("x"), F.col("e.id").alias("y")).agg(F.count("*").alias("times"))
-    best = met.groupBy("x").agg(F.max(F.struct("times", "y")).alias("b")).select("x", F.col("b.y").alias("y"))
-    known = settle(overlaps(best, sets), "leaders")
-    edges = known.where(linked(F.col("both"), F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    first = settle(components(edges), "first")
-    # Pairs of different components; those within one are answered already.
-    marked = lists.select("token", "id", "n", "pos").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = marked.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
-    # Ids that rows share have several sketches; those pairs are not judged
-    # by one, so all of them take part.
-    sketch = sets.select("id", F.size("tokens").alias("n"), "sketch")
-    marked = marked.join(mixed, "token", "left_semi").join(small(sketch, SKETCH_ROWS), ["id", "n"])
-    open_pairs = settle(across(marked), "across")
-    discard(lists)
+    sets = settle(whole_sets(docs, "text", "id"), "sets")
+    if sets.groupBy("id", "own").count().where("count > 1").limit(1).count():  # rows repeated
+        sets = settle(sets.dropDuplicates(["id", "own"]), "sets")
+    lists, met = neighbours(rare_prefixes(sets))
+    # Each set's overlap with the neighbour it met most often, then of the
+    # nearest sets of different components; the nearest one leads.
+    met = met.groupBy("x").agg(F.max_by("y", F.struct("times", "y")).alias("y"))
+    near = settle(overlaps(met, sets), "near")
+    is_linked = linked(F.col("both"), F.col("nx"), F.col("ny"))
+    first = merged(sets.select("id", F.col("id").alias("component")).distinct(), near.where(is_linked))
+    known = near
+    for _ in range(ROUNDS):
+        far = settle(overlaps(across(mixed(lists, first, sets), TRIED), sets), "far")
+        first, known = merged(first, far.where(is_linked)), known.unionByName(far)
+    open_pairs = settle(across(mixed(lists, first, sets)), "across")
     # One row for each id: where rows share an id, no bound holds for both,
     # so these are their own leaders.
-    leads = known.select(F.col("x").alias("id"), F.col("y").alias("leader"), F.col("nx").alias("n"), (F.col("nx") - F.col("both")).alias("off"), (F.col("ny") - F.col("both")).alias("lack"))
+    best = known.groupBy("x").agg(F.max(F.struct(F.col("both") / (F.col("nx") + F.col("ny")), "both", "y", "nx", "ny")).alias("b")).select("x", "b.*")
+    leads = best.select(F.col("x").alias("id"), F.col("y").alias("leader"), F.col("nx").alias("n"), (F.col("nx") - F.col("both")).alias("off"), (F.col("ny") - F.col("both")).alias("lack"))
     per_id = sets.groupBy("id").agg(F.count("*").alias("sets"), F.max(F.size("tokens")).alias("size"))
     single = per_id.where("sets = 1").select(F.col("id").alias("one"))
     good = leads.join(single, F.col("id") == F.col("one"), "left_semi").join(single, F.col("leader") == F.col("one"), "left_semi")
     own = per_id.join(good, "id", "left_anti").select("id", F.col("id").alias("leader"), F.col("size").alias("n"), F.lit(0).alias("off"), F.lit(0).alias("lack"))
     more = derived(open_pairs, good.unionByName(own), sets)
-    # One link between two components is enough: contract them to nodes.
-    name = lambda k: first.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
-    more = more.join(name("x"), "x", "left").join(name("y"), "y", "left")
-    more = more.select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b")).where("a <> b").distinct()
-    merged = components(settle(more, "links")).select(F.col("id").alias("component"), F.col("component").alias("top"))
-    within = first.join(merged, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-    alone = merged.join(first.select("component").distinct(), "component", "left_anti")
-    found = settle(within.unionByName(alone.select(F.col("component").alias("id"), F.col("top").alias("component"))), "components")
+    found = merged(first, more)
     named = classes.join(found, F.col("first") == F.col("id"), "left").select("d1", "d2", "n", F.coalesce("component", "first").alias("component_id"))
     empty = (F.col("n") == 0) | F.col("id").isNull()
     out = rows.where(~empty).select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"]).select("id", "n", "component_id")

@@ -49,9 +49,11 @@ def noisy(rng, words, n):
     return w
 
 
-@pytest.mark.parametrize("seed, frequent", [(1, 50), (2, 3), (3, 3)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, seed, frequent):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+@pytest.mark.parametrize("seed, hot, part", [(1, 2_000, 4_096), (2, 3, 2), (3, 3, 3)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, seed, hot, part):
+    """Also with groups so small that hot tokens and long lists are split."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "PART", part)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     rng = random.Random(seed)
     passage = [f"p{i}" for i in range(30)]
@@ -90,6 +92,17 @@ def test_block_skipping_loses_nothing():
     assert got == want
 
 
+def test_nearest_pairs_of_groups():
+    x, y = np.triu_indices(6, 1)
+    group, apart = np.array([0, 0, 1, 1, 2, 2]), (x * 7 + y * 3) % 11 / 11
+    got = jaccard.nearest(x, y, apart, group, 2)
+    for side in (x, y):
+        for g in range(3):
+            mine = group[side] == g
+            assert got[mine & (apart <= np.sort(apart[mine])[:2].max())].all()
+    assert 0 < got.sum() < len(x)
+
+
 def test_components_of_path_and_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
