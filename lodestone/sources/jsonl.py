@@ -34,11 +34,14 @@ def shard_numbers(df: DataFrame, order: str, max_bytes: int) -> DataFrame:
     greedy cutting, which starts each shard at a row, is sequential.
 
     Rows are first dealt by ranges of the order; only the sizes of these
-    ranges are summed up in one place.
+    ranges are summed up in one place. The dealt rows are settled, as a second
+    run of the exchange may draw and join its ranges otherwise.
     """
+    from ..session import settle
+
     rows = df.select(F.to_json(F.struct(*df.columns)).alias("line"), F.col(order).alias("__o"))
     rows = rows.withColumn("size", F.octet_length("line") + 1).repartitionByRange("__o")
-    rows = rows.withColumn("part", F.spark_partition_id())
+    rows = settle(rows.withColumn("part", F.spark_partition_id()), "ranges")
     before = rows.groupBy("part").agg(F.sum("size").alias("bytes"))
     before = before.withColumn("base", F.sum("bytes").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     w = Window.partitionBy("part").orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)

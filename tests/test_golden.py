@@ -392,6 +392,23 @@ def test_jsonl_shards(spark, tmp_path):
     assert jsonl.read_shards(spark, path, "id bigint, t string", skip_ratio=0.5).count() < 300
 
 
+def test_jsonl_shards_keep_all_ranges(spark, tmp_path):
+    """Ranges that adaptive execution joins otherwise in each run of their exchange."""
+    from lodestone.sources import jsonl
+
+    d = spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("t"))
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        jsonl.write_shards(d, str(tmp_path / "out"), "id", max_bytes=50_000)
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    back = jsonl.read_shards(spark, str(tmp_path / "out"), "id bigint, t string").collect()
+    assert sorted(back) == sorted(d.collect())
+
+
 def test_stream_resumes(spark, tmp_path):
     from lodestone.streaming import ingest
 
