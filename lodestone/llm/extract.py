@@ -3,16 +3,18 @@
 A page is read as a stream of tags and text. Markup names most of what is not
 the article: menus, headers, footers, sidebars, notices, adverts, forms,
 scripts and reader comments go by element, role and class. If the page marks
-its article (``article``, ``main``, or a container named so), the rest of it
-stays whole.
-
-What a page without such a mark keeps is decided by a suffix array over the
-token streams of the pages of its host: substrings of words that are repeated
-on many distinct pages are found from the longest common prefixes, the spans
-of each page that they cover are united, and blocks that are mostly covered
-are removed as boilerplate; unique runs stay. Texts inside a marked article
-are not judged by repetition, as articles may share passages and copies of a
-page are no boilerplate.
+its article (``article``, ``main``, or a container named so), only the rest
+of that is looked at.
+
+Every page is then judged by a suffix array over the token streams of the
+pages of its host: substrings of words that are repeated on many distinct
+pages are found from the longest common prefixes, the spans of each page that
+they cover are united, and blocks that are mostly covered are removed as
+boilerplate; unique runs stay. Copies of a page count once. Inside a marked
+article a substring has to be on half of the host's articles, at least
+MARKED_PAGES, of which near copies count as one family; so passages that some
+articles share, and near copies, stay. A marked article stays whole if
+nothing would be left of it.
 
 Hosts of any size are cut into groups of bounded size by a hash of the page,
 so no group of pages of one host is gathered whole.
@@ -43,6 +45,8 @@ HOST_ROWS = 500_000  # bound for broadcasting the hosts' sizes
 MIN_REPEAT = 4  # words of a repeated substring
 MIN_PAGES = 3  # distinct pages of a group that must hold it, and
 MIN_SHARE = 0.2  # the share of the group's pages
+MARKED_PAGES = 5  # in marked articles: distinct families of pages, and
+MARKED_SHARE = 0.5  # the share of the group's families
 MOSTLY = 0.8  # covered share of a removed block
 
 # Element names and the words of classes, ids and roles.
@@ -177,16 +181,16 @@ def parse(source: str) -> Page:
     return page
 
 
-def repeated(streams: list[list[np.ndarray]], pages: int) -> list[list[np.ndarray]]:
+def repeated(streams: list[list[np.ndarray]], least: int, share: float, families: bool = False) -> list[list[np.ndarray]]:
     """For each page's blocks of word hashes, which words lie in substrings
-    of MIN_REPEAT words or more that many distinct pages hold.
+    of MIN_REPEAT words or more that so many of the distinct pages hold, or
+    with ``families`` so many of their families.
 
     All streams form one sequence, with an end of its own after each block,
     so that no substring runs over a block.
     """
-    need = max(MIN_PAGES, int(np.ceil(MIN_SHARE * pages)))
     flat = [b for page in streams for b in page]
-    if not flat or pages < need:
+    if not flat or len(streams) < least:
         return [[np.zeros(len(b), bool) for b in page] for page in streams]
     sizes = np.array([len(b) + 1 for b in flat])
     start = np.cumsum(sizes) - sizes
@@ -211,6 +215,11 @@ def repeated(streams: list[list[np.ndarray]], pages: int) -> list[list[np.ndarra
         i += ok << k
         j += ok << k
     run = np.concatenate([[0], np.cumsum(lcp < MIN_REPEAT)])
+    if families:
+        left = np.repeat(start + sizes - 1, sizes) - np.arange(len(seq))
+        full = left[sa] >= MIN_REPEAT
+        owner = family(run[full], owner[sa][full], len(streams))[owner]
+    need = max(least, int(np.ceil(share * len(at.distinct(owner)))))
     pair = at.distinct(run * np.int64(len(streams)) + owner[sa])
     held = np.bincount(pair // len(streams), minlength=run[-1] + 1)
     hit = sa[held[run] >= need]
@@ -225,32 +234,55 @@ def repeated(streams: list[list[np.ndarray]], pages: int) -> list[list[np.ndarra
     return out
 
 
+def family(run: np.ndarray, owner: np.ndarray, pages: int) -> np.ndarray:
+    """The first page of each page's family. Near copies are of one family:
+    pages that share half of the substrings of the smaller one or more.
+
+    Each page is held against the next one that has the same substring, so
+    this is linear in the words.
+    """
+    pair = at.distinct(run * np.int64(pages) + owner)
+    run, owner = pair // pages, pair % pages
+    size = np.bincount(owner, minlength=pages)
+    same = run[1:] == run[:-1]
+    link, shared = np.unique(owner[:-1][same] * np.int64(pages) + owner[1:][same], return_counts=True)
+    a, b = link // pages, link % pages
+    near = 2 * shared >= np.minimum(size[a], size[b])
+    root = list(range(pages))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(a[near].tolist(), b[near].tolist()):
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    return np.array([find(x) for x in range(pages)], dtype=np.int64)
+
+
 def extract_group(sources: list[str | None]) -> list[str]:
-    """The main texts of a group of pages of one host."""
-    pages = [parse(s or "") for s in sources]
-    texts: list[str | None] = []
-    open_: list[int] = []
-    for i, p in enumerate(pages):
-        inside = [b.text for b in p.blocks if b.marked]
-        texts.append("\n".join(inside) if inside else None)
-        if not inside:
-            open_.append(i)
-    if open_:
-        streams, seen, first = [], {}, []
-        for i in open_:
-            key = "\n".join(b.text for b in pages[i].blocks)
-            first.append(seen.setdefault(key, len(streams)))
-            if first[-1] == len(streams):  # copies of a page count once
-                streams.append([at.mix(np.array([hash_word(w) for w in b.text.split()], dtype=np.uint64)) for b in pages[i].blocks])
-        cover = repeated(streams, len(streams))
-        for i, k in zip(open_, first):
-            kept = []
-            for b, c in zip(pages[i].blocks, cover[k]):
-                links = b.link_chars > 0.6 * len(b.text)
-                if not links and c.mean() < MOSTLY:
-                    kept.append(b.text)
-            texts[i] = "\n".join(kept)
-    return [t or "" for t in texts]
+    """The main texts of a group of pages of one host. Every page goes
+    through a suffix array: with the pages that mark their article or with
+    those that do not."""
+    texts = [""] * len(sources)
+    kinds: tuple[dict, dict] = {}, {}  # for each distinct page its copies: place and blocks
+    for i, s in enumerate(sources):
+        blocks = parse(s or "").blocks
+        inside = [b for b in blocks if b.marked]
+        key = "\n".join(b.text for b in inside or blocks)
+        kinds[bool(inside)].setdefault(key, []).append((i, inside or blocks))
+    for marked, found in enumerate(kinds):
+        streams = [[at.mix(np.array([hash_word(w) for w in b.text.split()], dtype=np.uint64)) for b in copies[0][1]] for copies in found.values()]
+        cover = repeated(streams, *((MARKED_PAGES, MARKED_SHARE, True) if marked else (MIN_PAGES, MIN_SHARE)))
+        for copies, covered in zip(found.values(), cover):
+            for i, blocks in copies:
+                kept = [b.text for b, c in zip(blocks, covered) if c.mean() < MOSTLY and (marked or b.link_chars <= 0.6 * len(b.text))]
+                if marked and not kept:
+                    kept = [b.text for b in blocks]
+                texts[i] = "\n".join(kept)
+    return texts
 
 
 def hash_word(word: str) -> int:

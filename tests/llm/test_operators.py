@@ -315,6 +315,20 @@ def test_repeated_boilerplate_goes():
     assert all(foot in t for t in copies)
 
 
+def test_repeated_blocks_of_marked_articles():
+    """The suffix array decides in marked articles as well; near copies and passages that some share stay."""
+    words = lambda k, n: " ".join(f"u{k}x{i}" for i in range(n))
+    page = lambda *blocks: f"<html><body><nav>Home</nav><article>{''.join(f'<p>{b}</p>' for b in blocks)}</article></body></html>"
+    sign, quote = "Read more of our stories on this site every day", "a quote that some of the articles have in common"
+    bodies = [words(i, 40) for i in range(10)]
+    got = extract.extract_group([page(b, *[quote] * (i < 4), sign) for i, b in enumerate(bodies)])
+    assert got == ["\n".join([b, *[quote] * (i < 4)]) for i, b in enumerate(bodies)]
+    near = [page(words(0, 40), f"changed{i}", words(1, 20)) for i in range(10)]
+    assert extract.extract_group(near) == ["\n".join([words(0, 40), f"changed{i}", words(1, 20)]) for i in range(10)]
+    assert extract.extract_group(near + [page(b) for b in bodies[2:]])[0] == "\n".join([words(0, 40), "changed0", words(1, 20)])
+    assert extract.extract_group([page(sign)] * 10) == [sign] * 10
+
+
 def test_extraction_rows(spark):
     d = spark.createDataFrame([(1, "http://a.b/x", PAGE, 1), (1, "http://a.b/x", PAGE, 1), (2, None, None, 1), (None, "", "<p>x", 1)], "page_id bigint, url string, html string, host int")
     rows = extract.extract(d).collect()
