@@ -19,9 +19,10 @@ result, which is exact in any one order of all tokens:
 A line is removed if an earlier line, in the order of (id, text hash where
 rows share an id, line number), has its token set or one that similar. One
 match is enough, and this keeps the work linear within large groups of alike
-lines: in long lists (HOT) a line is first held only against the first line
-and the NEIGHBOURS lines before it, and only lines without a match after that
-are joined with these lists as a whole. Of each line's
+lines: in the lists of its HEAD rarest words a line is first held only against
+the first line and the NEIGHBOURS lines before it. Two lines with a match by
+then are not paired any more. Long lists (HOT) are all treated so, and only
+lines without a match after that are joined with them as a whole. Of each line's
 candidates the one with the nearest sketch is verified first, the others only
 if that fails. Nothing is dropped by either.
 
@@ -44,6 +45,7 @@ STEPS = 3  # ranks for each doubling of a count
 HOT = 512  # entries of a bucket of lists, beyond four times the mean, from which on its lists are long
 PART = 16_384  # entries for each part that a long list is cut into
 WIDE = 64  # tokens from which on a sketch has 128 bits, not 64
+HEAD = 2  # rarest words by which every line is first held against neighbours
 NEIGHBOURS = 2  # lines of a list before its own that a line is held against
 KEY_ROWS = 1_000_000  # bound for broadcasting keys of classes
 LINE_ROWS = 2_000_000  # bound for broadcasting places of lines
@@ -111,9 +113,10 @@ def _sets(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", "copy", F.split(_plain(F.col("text")), "\n", -1).alias("lines"))
     lines = lines.select("doc_id", "copy", F.posexplode("lines").alias("line_no", "line")).where(F.trim("line") != "")
     # The table of ranks stands in the expression that reads it, as a scalar
-    # subquery; no row carries it.
+    # subquery; no row carries it. An array that may hold nulls is sorted
+    # boxed, so no rank is null.
     lines = lines.withColumn("ranks", _ranks(docs).scalar())
-    token = lambda h: F.shiftleft(F.get("ranks", _bucket(h)).cast("bigint"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+    token = lambda h: F.shiftleft(F.coalesce(F.get("ranks", _bucket(h)), F.lit(0)).cast("bigint"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
     lines = lines.select(*LINE, F.sort_array(F.transform(_hashes(F.col("line")), token)).alias("tokens"))
     s1, s2 = _sketch(F.col("tokens"))
     n = F.size("tokens")
@@ -193,30 +196,40 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     classes = settle(sets.groupBy("key").agg(first.alias("f"), F.count("*").alias("copies")).select("key", "copies", "f.*"), "classes")
     discard(sets)
     own = F.struct(*LINE)
-    postings = classes.select(*LINE, "key", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "token"))
-    sizes = _table(postings.select(F.col("token").alias("h")), lambda n: n.cast("int"), "sizes")
+    entries = lambda of, prefix: of.select(*LINE, *[c for c in of.columns if c in ("key", "n", "s1", "s2", "gone")], F.posexplode(prefix).alias("pos", "token"))
+    sizes = _table(entries(classes, "prefix").select(F.col("token").alias("h")), lambda n: n.cast("int"), "sizes")
+    sized = lambda of: of.withColumn("size", F.get(sizes.scalar(), _bucket(F.col("token"))))
     mean = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     long = HOT + 4 * (mean >> BUCKET_BITS)
-    postings = postings.withColumn("size", F.get(sizes.scalar(), _bucket(F.col("token"))))
+    left = lambda df, c: df.join(small(gone.withColumnRenamed("key", c), KEY_ROWS), c, "left_anti")
+    whole = lambda keys: _words(docs, classes.select("key", *LINE).join(small(keys, KEY_ROWS), "key", "left_semi"))
+    # Most alike lines share one of their rarest words: neighbours by these
+    # first. Two lines that have a match need no pair with each other then.
+    head = settle(_neighbours(sized(entries(classes, F.slice("prefix", 1, HEAD)))).distinct(), "head")
+    nearest = head.groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
+    nearest = settle(nearest.select(F.col("x").alias("late"), F.col("y").alias("early")), "nearest")
+    gone = _similar(nearest, whole(settle(nearest.select(F.explode(F.array("late", "early")).alias("key")).distinct(), "some")))
+    flags = small(gone.withColumn("gone", F.lit(True)), KEY_ROWS)
+    postings = sized(entries(classes.join(flags, "key", "left").withColumn("gone", F.col("gone").isNotNull()), "prefix"))
     # Short lists as a whole, and neighbours in long ones.
-    short = postings.where(F.col("size") <= long).select("token", "key", "n", "pos", "s1", "s2")
+    short = postings.where(F.col("size") <= long).select("token", "key", "n", "pos", "s1", "s2", "gone")
     a, b = short.alias("a"), short.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & _fits("a.", "b."))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & ~(F.col("a.gone") & F.col("b.gone")) & _fits("a.", "b."))
     pairs = pairs.select(F.col("a.key").alias("x"), F.col("b.key").alias("y"), _apart("a.", "b.").alias("apart"))
     pairs = settle(pairs.distinct(), "pairs")
     hot = settle(postings.where(F.col("size") > long), "hot")
-    met = settle(_neighbours(hot).distinct(), "met")
+    met = settle(left(_neighbours(hot).distinct(), "x"), "met")
     some = pairs.unionByName(met).select(F.explode(F.array("x", "y")).alias("key"))
-    some = settle(some.unionByName(hot.select("key")).distinct(), "some")
-    firsts = settle(classes.select("key", own.alias("line")).join(small(some, KEY_ROWS), "key", "left_semi"), "firsts")
-    words = _words(docs, firsts.select("key", "line.*"))
+    firsts = settle(classes.select("key", own.alias("line")).join(small(settle(some.distinct(), "some"), KEY_ROWS), "key", "left_semi"), "firsts")
     name = lambda k: firsts.select(F.col("key").alias(k), F.col("line").alias(f"{k}_line"))
     known = pairs.unionByName(met).join(name("x"), "x").join(name("y"), "y")
     later = F.col("x_line") > F.col("y_line")
-    known = settle(known.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("early"), "apart").distinct(), "known")
+    known = known.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("early"), "apart")
+    known = settle(left(known, "late").distinct(), "known")
+    some = known.select(F.explode(F.array("late", "early")).alias("key")).unionByName(hot.select("key"))
+    words = whole(settle(some.distinct(), "some"))
     nearest = known.groupBy("late").agg(F.min_by("early", F.struct("apart", "early")).alias("early"))
-    gone = _similar(nearest, words)
-    left = lambda df, c: df.join(small(gone.withColumnRenamed("key", c), KEY_ROWS), c, "left_anti")
+    gone = settle(gone.unionByName(_similar(nearest, words)), "gone")
     more = _similar(left(known, "late").select("late", "early"), words)
     gone = settle(gone.unionByName(more), "gone")
     # Lines still without a match, against all earlier ones of long lists.

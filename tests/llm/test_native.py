@@ -140,6 +140,23 @@ def test_lines_in_any_order(spark, monkeypatch, hot, part, neighbours):
     assert got == brute_lines(docs) and got[71] == ""
 
 
+def test_alike_lines_make_few_pairs(spark, monkeypatch):
+    """A group of near copies in short lists is not paired in full."""
+    made, settle = {}, linededup.settle
+
+    def counted(df, name="t"):
+        out = settle(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "settle", counted)
+    common = " ".join(f"w{k}" for k in range(20))
+    d = spark.createDataFrame([(i, f"{common} only{i}") for i in range(200)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(d).collect()}
+    assert got[0] == f"{common} only0" and all(got[i] == "" for i in range(1, 200))
+    assert made["pairs"] < 1000
+
+
 def test_lines_of_a_long_document(spark):
     """Many lines in one text, half of them removed; none takes the others'
     time."""
