@@ -42,3 +42,22 @@ def test_no_learned_language(spark):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard", "decontamination", "best_fit_packing"]
+
+
+def test_line_dedup_pairs_few_near_copies(spark, monkeypatch):
+    """The pairs that the stage joins do not grow with the square of a group."""
+    from lodestone.llm import linededup
+
+    made, settle = {}, linededup.settle
+
+    def counted(df, name="t"):
+        out = settle(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "settle", counted)
+    common = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(i, f"{common} only{i}", "en", "s", 1) for i in range(150)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = corpus_pipeline.line_dedup(spark, docs, "").collect()
+    assert [(r["doc_id"], r["n_chars"]) for r in rows] == [(0, len(f"{common} only0"))]
+    assert made["pairs"] < 750
