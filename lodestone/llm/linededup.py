@@ -9,7 +9,8 @@ is read; only its prefix is moved. The order decides the cost and never the
 result, which is exact in any one order of all tokens:
 
 * prefix filter: two sets with Jaccard 0.75 or more share one of the first
-  n - ceil(0.75 n) + 1 tokens of either;
+  n - ceil(0.75 n) + 1 tokens of either, and of the smaller one's first
+  n / 7 + 1 (used in short lists);
 * length filter: 3 * larger <= 4 * smaller;
 * positional filter: the tokens from the shared one on must suffice;
 * bitmap filter: the sets differ in no more tokens than they may, by sketches
@@ -33,6 +34,9 @@ are treated alike, as one row; other columns pass through.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +61,8 @@ _HASH_BITS = 56
 
 def _plain(text: Column) -> Column:
     """Every ASCII white space but the line feed as a space."""
-    return F.when(text.rlike(f"[{_OTHER_SPACE}]"), F.translate(text, _OTHER_SPACE, " " * len(_OTHER_SPACE))).otherwise(text)
+    some = reduce(lambda x, y: x | y, [F.contains(text, F.lit(c)) for c in _OTHER_SPACE])
+    return F.when(some, F.translate(text, _OTHER_SPACE, " " * len(_OTHER_SPACE))).otherwise(text)
 
 
 def _numbered(documents: DataFrame, text: str, id_column: str) -> DataFrame:
@@ -74,8 +79,9 @@ def _numbered(documents: DataFrame, text: str, id_column: str) -> DataFrame:
 
 def _hashes(line: Column) -> Column:
     """Hashes of the distinct words of a line."""
-    words = F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w))
-    return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
+    words = F.array_distinct(F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w)))
+    wide = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(wide, F.array_remove(words, F.xxhash64(F.lit("")))).otherwise(words)
 
 
 def _bucket(h: Column) -> Column:
@@ -95,8 +101,9 @@ def _table(hashes: DataFrame, value, name: str) -> DataFrame:
 
 def _ranks(docs: DataFrame) -> DataFrame:
     """One row: the ranks of all buckets of words."""
-    # A word next to a line feed counts with it; this is an order's matter only.
-    words = docs.select(F.explode(F.split("text", " ", -1)).alias("word")).where("word <> ''")
+    # Outer, as Spark else splits each text once more to see that it has words.
+    text = F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode_outer(F.split(text, " ", -1)).alias("word")).where("word <> ''")
     rank = lambda n: F.floor(STEPS * F.log2(F.greatest(n, F.lit(1)))).cast("tinyint")
     return _table(words.select(F.xxhash64("word").alias("h")), rank, "ranks")
 
@@ -111,7 +118,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     sketch s1, s2, and the prefix by rarity; a token holds its rank above
     _HASH_BITS bits of the hash. docs: doc_id, copy, text."""
     lines = docs.select("doc_id", "copy", F.split(_plain(F.col("text")), "\n", -1).alias("lines"))
-    lines = lines.select("doc_id", "copy", F.posexplode("lines").alias("line_no", "line")).where(F.trim("line") != "")
+    lines = lines.select("doc_id", "copy", F.posexplode_outer("lines").alias("line_no", "line")).where(F.trim("line") != "")
     # The table of ranks stands in the expression that reads it, as a scalar
     # subquery; no row carries it. An array that may hold nulls is sorted
     # boxed, so no rank is null.
@@ -154,19 +161,23 @@ def _neighbours(postings: DataFrame) -> DataFrame:
     mine = [*LINE, "key", "n", "pos", "s1", "s2"]
     entry = F.struct("key", "n", "pos", "s1", "s2")
 
-    def met(rows: DataFrame, keys: list) -> tuple[DataFrame, DataFrame]:
+    def met(rows: DataFrame, keys: list) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(*LINE, "key")
         head = F.first(entry).over(w.rowsBetween(Window.unboundedPreceding, 0))
         near = [F.lag(entry, k).over(w).alias(f"e{k}") for k in range(1, NEIGHBOURS + 1)]
         found = rows.select("token", "parts", *mine, head.alias("e0"), *near)
         early = [F.when(_fits("", f"e{k}."), F.struct(F.col(f"e{k}.key").alias("y"), _apart("", f"e{k}.").alias("apart"))) for k in range(NEIGHBOURS + 1)]
         pairs = found.where("e1 is not null").select(F.col("key").alias("x"), F.explode(F.array(*early)).alias("e"))
-        return pairs.select("x", "e.*").where("x <> y"), found.where((F.col("e1").isNull()) & (F.col("parts") > 1)).select("token", "parts", *mine)
+        return pairs.select("x", "e.*").where("x <> y")
+
+    def heads(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("token", "part").orderBy(*LINE, "key")
+        return rows.withColumn("place", F.row_number().over(w)).where("place = 1").select("token", "parts", *mine)
 
-    parts = F.ceil(F.col("size") / PART).cast("int")
+    parts = F.greatest(F.ceil(F.col("size") / PART), F.lit(1)).cast("int")
     cut = postings.withColumn("parts", parts).withColumn("part", F.pmod("key", F.col("parts")))
-    pairs, heads = met(cut, ["token", "part"])
-    return pairs.unionByName(met(heads, ["token"])[0])
+    # Few lists have several parts, and only those are sorted once more.
+    return met(cut, ["token", "part"]).unionByName(met(heads(cut.where("parts > 1")), ["token"]))
 
 
 def _words(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -197,7 +208,10 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     discard(sets)
     own = F.struct(*LINE)
     entries = lambda of, prefix: of.select(*LINE, *[c for c in of.columns if c in ("key", "n", "s1", "s2", "gone")], F.posexplode(prefix).alias("pos", "token"))
-    sizes = _table(entries(classes, "prefix").select(F.col("token").alias("h")), lambda n: n.cast("int"), "sizes")
+    # A list is no longer than its bucket's words are many: only those of many
+    # words are counted, the others' size stays 0.
+    many = F.shiftright("token", _HASH_BITS) >= int(STEPS * math.log2(HOT))
+    sizes = _table(entries(classes, "prefix").where(many).select(F.col("token").alias("h")), lambda n: n.cast("int"), "sizes")
     sized = lambda of: of.withColumn("size", F.get(sizes.scalar(), _bucket(F.col("token"))))
     mean = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     long = HOT + 4 * (mean >> BUCKET_BITS)
@@ -212,9 +226,15 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     flags = small(gone.withColumn("gone", F.lit(True)), KEY_ROWS)
     postings = sized(entries(classes.join(flags, "key", "left").withColumn("gone", F.col("gone").isNotNull()), "prefix"))
     # Short lists as a whole, and neighbours in long ones.
-    short = postings.where(F.col("size") <= long).select("token", "key", "n", "pos", "s1", "s2", "gone")
-    a, b = short.alias("a"), short.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & ~(F.col("a.gone") & F.col("b.gone")) & _fits("a.", "b."))
+    filled = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    short = postings.where(F.col("size") <= long).select(*[filled(c) for c in ("token", "key", "n", "pos", "s1", "s2")], "gone")
+    # The larger set of a pair is a, and b has a shared token in a shorter prefix
+    # than a: of 7 tokens 6 are shared. A condition that Spark takes for random
+    # stays above the exchange, so that both sides read the same one.
+    short = short.repartition("token")
+    a, b = short.alias("a"), short.where(F.when(F.monotonically_increasing_id() >= 0, 7 * F.col("pos") <= F.col("n"))).alias("b")
+    sized_apart = (F.col("a.n") >= F.col("b.n")) & (3 * F.col("a.n") <= 4 * F.col("b.n")) & ((F.col("a.n") > F.col("b.n")) | (F.col("a.key") < F.col("b.key")))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & sized_apart & ~(F.col("a.gone") & F.col("b.gone")) & _fits("a.", "b."))
     pairs = pairs.select(F.col("a.key").alias("x"), F.col("b.key").alias("y"), _apart("a.", "b.").alias("apart"))
     pairs = settle(pairs.distinct(), "pairs")
     hot = settle(postings.where(F.col("size") > long), "hot")

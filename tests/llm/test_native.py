@@ -166,6 +166,45 @@ def test_lines_of_a_long_document(spark):
     assert got[1] == "\n".join(lines[::2]) and got[2] == ""
 
 
+def test_lines_are_read_once(spark, monkeypatch):
+    """No filter that Spark infers splits the texts a second time, and only
+    lists of frequent words are counted."""
+    made, settle = {}, linededup.settle
+
+    def kept(df, name="t"):
+        made[name] = settle(df, name)
+        return made[name]
+
+    monkeypatch.setattr(linededup, "settle", kept)
+    d = spark.createDataFrame([(i, 0, f"a b{i} c\nx y z{i}") for i in range(40)], "doc_id bigint, copy bigint, text string")
+    plan = linededup._sets(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan and "size(split" not in plan
+    linededup.similar_lines(d)
+    assert sum(made["sizes"].first()[0]) == 0
+
+
+def test_ranks_count_words_at_any_white_space(spark):
+    """A word beside a tab or a line feed is as frequent as any other."""
+    d = spark.createDataFrame([(1, "w\tw\nw w\rw\x0bw\nw w")], "doc_id bigint, text string")
+    ranks = linededup._ranks(d).first()[0]
+    assert sorted(ranks)[-1] == linededup.STEPS * 3 and sum(ranks) == linededup.STEPS * 3
+
+
+def test_lines_of_other_lengths(spark, monkeypatch):
+    """Of two lines the shorter is found by its shorter prefix, first or
+    second, just at the bound and just beyond it, without help of neighbours."""
+    monkeypatch.setattr(linededup, "HEAD", 0)
+    cases = [(3, 4, 3), (4, 3, 3), (8, 6, 6), (6, 8, 6), (7, 7, 6), (7, 7, 5), (6, 9, 6), (80, 60, 60), (60, 80, 60), (81, 60, 60), (70, 70, 60), (70, 70, 59)]
+    line = lambda k, c, n, shared: " ".join([f"s{k}_{i}" for i in range(shared)] + [f"{c}{k}_{i}" for i in range(n - shared)])
+    docs = [(10 * k + j, line(k, "ab"[j], (n, m)[j], shared)) for k, (n, m, shared) in enumerate(cases) for j in (0, 1)]
+    # Shared words are frequent, and the lists of the others come first.
+    docs += [(1000 + 100 * k + i, f"s{k}_{i} " + " ".join(f"o{k}_{i}_{j}" for j in range(9))) for k, c in enumerate(cases) for i in range(c[2])]
+    d = spark.createDataFrame([(i, t, "", "") for i, t in docs], DOC)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(d).collect()}
+    assert got == brute_lines(docs)
+    assert [got[10 * k + 1] == "" for k in range(len(cases))] == [7 * c[2] >= 3 * (c[0] + c[1]) for c in cases]
+
+
 def test_lines_repeated_rows_and_empty_table(spark):
     d = spark.createDataFrame([(1, "x y z\nx y z", "", ""), (1, "x y z\nx y z", "", "")], DOC)
     assert [r["text"] for r in linededup.dedup_lines(d).collect()] == ["x y z", "x y z"]
